@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, token_counts, token_files, warc
+from . import mixing, packing, simhash, token_counts, token_files, vector_dedup, vector_search, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
+    "op4_vector_dedup": vector_dedup.op4_vector_dedup,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_vector_search": vector_search.op10_vector_search,
 }
-ORACLES = {"op2_warc": warc.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op4_vector_dedup": vector_dedup.ORACLE}
