@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, token_counts, token_files, vector_dedup, vector_search, warc
+from . import mixing, packing, quality, simhash, token_counts, token_files, vector_dedup, vector_search, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
+    "op3_quality": quality.op3_quality,
     "op4_vector_dedup": vector_dedup.op4_vector_dedup,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
