@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, partitions, worker_state
 
@@ -236,10 +237,10 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, key: str = "doc_id
     return vectors, Network().fit(x[~calibrate], y[~calibrate], x[calibrate], y[calibrate])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str = "text") -> DataFrame:
-    """The columns of docs, then score; a column of that name is replaced. Null and empty texts have the score of no words."""
+def score(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns of docs, then the score under `name`; a column of that name is replaced. Null and empty texts have the score of no words."""
     vectors, net = model
-    own = [c for c in docs.columns if c.lower() != "score"]
+    own = [c for c in docs.columns if c.lower() != name.lower()]
     given = docs.select(*(F.col(f"`{c}`") for c in own))
     schema = given.schema.fields
     at = own.index(text)
@@ -248,11 +249,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str
         for b in batches:
             x = pooled(b.column(at), vectors)
             s = net.score(x) if isinstance(net, Network) else np.full(len(x), net)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
-    from pyspark.sql import types as T
-
-    return given.mapInArrow(run, T.StructType([*schema, T.StructField("score", T.DoubleType())]))
+    return given.mapInArrow(run, T.StructType([*schema, T.StructField(name, T.DoubleType())]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

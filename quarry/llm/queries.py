@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, token_counts, token_files, vector_dedup, vector_search, warc
+from . import mixing, packing, quality, secrets, simhash, token_counts, token_files, vector_dedup, vector_search, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
     "op3_quality": quality.op3_quality,
     "op4_vector_dedup": vector_dedup.op4_vector_dedup,
+    "op5_secrets": secrets.op5_secrets,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
