@@ -89,24 +89,25 @@ class Schedule:
 
 
 def tokenized(docs: DataFrame, folder_table, key: str, text: str, source: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Per document its ids and their number, and the tokens before it in its source within its partition (pid)."""
+    """Per document its ids (of 2 or 4 bytes) and their number, and the tokens before it in its source within its partition (pid)."""
 
     def encode(batches):
         from pyspark import TaskContext
 
         pid, enc, carry = TaskContext.get().partitionId(), encoder(tokenizer), {}
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            sources = b.column(2).to_pylist()
-            ids, n, before = [], [], []
-            for i, x in enumerate(enc.ids(b.column(1).to_pylist())):
-                ids.append(x + end)
-                n.append(len(x) // 4 + 1)
-                before.append(carry.get(sources[i], 0))
-                carry[sources[i]] = before[-1] + n[-1]
-            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pid] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "pid", "before", "n", "ids"])
-            for k in range(0, rows.num_rows, 500):
-                yield rows.slice(k, 500)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                sources = b.column(2).to_pylist()
+                ids, n, before = [], [], []
+                for i, x in enumerate(enc.ids(b.column(1).to_pylist())):
+                    x = np.frombuffer(x + end, "<u4")
+                    ids.append((x.astype("<u2") if x.max() < 1 << 16 else x).tobytes())
+                    n.append(len(x))
+                    before.append(carry.get(sources[i], 0))
+                    carry[sources[i]] = before[-1] + n[-1]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pid] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "pid", "before", "n", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.concat(F.when(F.col(source).isNull(), "~").otherwise("="), F.coalesce(F.col(source), F.lit(""))).alias("source"))
     return folder_table(rows.mapInArrow(encode, "doc_id long, source string, pid int, before long, n long, ids binary"))
@@ -145,10 +146,11 @@ def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | N
     plan = Schedule(queues, weights, window) if queues else None
 
     def cut(batches):
-        for b in batches:
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             out: list = []
             for doc, s, u, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n", "ids"))):
                 merged: list[list[int]] = []
+                raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(raw) < 4 * n else raw
                 for f, t, pos in plan.place(s, u, n):
                     while f < t:
                         e = min(t, f + length - pos % length)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from itertools import chain
 
 from .common import worker_state
 
 DEFAULT = "byte_bpe_50k.json"
-#: Words whose ids a worker keeps; beyond that it starts anew.
+#: Words whose ids a worker keeps; beyond that it keeps those of the texts at hand.
 MEMO_WORDS = 400_000
+#: Characters of text that are worked on at a time.
+CHARS = 2_000_000
 
 
 def tokenizer_path(name: str = DEFAULT) -> str:
@@ -30,8 +33,9 @@ class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers.
 
     The library (tokenizers for .json, sentencepiece for .model) makes all ids. For byte-level BPE the words of its own
-    pattern are encoded once each and remembered, as no merge crosses them; texts with special strings or characters on
-    which Unicode versions may differ go to the library whole.
+    pattern are encoded once each and remembered, as no merge crosses them. That holds for texts of Latin letters and
+    common punctuation, for which the pattern is written out; texts with other characters, on which versions of Unicode
+    may differ, or with special strings go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -53,13 +57,15 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"):
             import numpy as np
-            import public_tokenizers
             import regex
 
             vocab = self.tok.get_vocab()
-            self.words = regex.compile(public_tokenizers.PATTERN).findall
+            known = [*map(chr, range(0x1C)), *map(chr, range(0x20, 0x250)), *map(chr, range(0x2010, 0x2028)), "€"]
+            letter, digit, space = ("".join(re.escape(c) for c in known if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
+            other = f"[^{space}{letter}{digit}]"
+            self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?{other}+|[{space}]+(?![^{space}])|[{space}]+").findall
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
-            self.odd = regex.compile("[^\x00-\x1b\x20-ɏ‐-‧€]").search
+            self.odd = re.compile(f"[^{''.join(map(re.escape, known))}]").search
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
             self.opens[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
 
@@ -100,19 +106,23 @@ class Encoder:
         start, chars = 0, 0
         for k, i in enumerate(todo):
             chars += len(texts[i])
-            if chars > 2_000_000 or k == len(todo) - 1:
+            if chars > CHARS or k == len(todo) - 1:
                 some = todo[start : k + 1]
-                lists = [self.words(texts[j]) for j in some]
-                if len(self.memo) > MEMO_WORDS:
-                    self.memo.clear()
-                if missing := set(chain.from_iterable(lists)).difference(self.memo):
-                    self.learn(sorted(missing))
-                get = self.memo.__getitem__
-                for j, ws in zip(some, lists):
-                    out[j] = b"".join(map(get, ws))
+                for j, x in zip(some, self.known([texts[j] for j in some])):
+                    out[j] = x
                 start, chars = k + 1, 0
         return out
 
+    def known(self, texts: list[str]) -> list[bytes]:
+        lists = [self.words(t) for t in texts]
+        met = set(chain.from_iterable(lists))
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {w: self.memo[w] for w in met if w in self.memo}
+        if missing := met.difference(self.memo):
+            self.learn(sorted(missing))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, ws)) for ws in lists]
+
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
 
