@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str
     at = own.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):  # texts go back in small batches
             x = pooled(b.column(at), vectors)
             s = net.score(x) if isinstance(net, Network) else np.full(len(x), net)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
