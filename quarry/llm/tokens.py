@@ -6,13 +6,12 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain
 
 from .common import worker_state
 
 DEFAULT = "byte_bpe_50k.json"
-#: Words whose ids a worker keeps; beyond that it keeps those of the texts at hand.
-MEMO_WORDS = 400_000
+#: Words of one generation of a worker's memory; what is used again moves to the next, and the one before is dropped.
+MEMO_WORDS = 250_000
 #: Characters of text that are worked on at a time.
 CHARS = 2_000_000
 
@@ -29,6 +28,26 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+class Words(dict):
+    """Ids of words. A word that is not known yet gets a place that learn() fills, where it has been handed out too."""
+
+    def __init__(self):
+        self.before: dict = {}
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str):
+        known = self.before.get(word)
+        if known is None:
+            known = self.new[word] = bytearray()
+        self[word] = known
+        return known
+
+    def turn(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers.
 
@@ -40,7 +59,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memo: dict[str, bytes] = {}
+        self.memo = Words()
         self.words = None
         if path.endswith(".model"):
             import sentencepiece
@@ -63,7 +82,7 @@ class Encoder:
             known = [*map(chr, range(0x1C)), *map(chr, range(0x20, 0x250)), *map(chr, range(0x2010, 0x2028)), "€"]
             letter, digit, space = ("".join(re.escape(c) for c in known if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
             other = f"[^{space}{letter}{digit}]"
-            self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?{other}+|[{space}]+(?![^{space}])|[{space}]+").findall
+            self.words = re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?{other}+|[{space}]+(?![^{space}])|[{space}]+").findall
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
             self.odd = re.compile(f"[^{''.join(map(re.escape, known))}]").search
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -79,6 +98,7 @@ class Encoder:
     def learn(self, missing: list[str]) -> None:
         import numpy as np
 
+        known: dict[str, bytes] = {}
         # Each of these opens with the one space that it holds, so its first id tells where it begins in a row of them.
         spaced = [w for w in missing if w[0] == " " and w[1:].isalpha()]
         for k in range(0, len(spaced), 512):
@@ -86,14 +106,17 @@ class Encoder:
             ids = np.frombuffer(self.whole(["".join(own)])[0], np.uint32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(own):
-                self.memo.update(zip(own, self.whole(own)))
+                known.update(zip(own, self.whole(own)))
                 continue
             raw, cuts = ids.tobytes(), [*(at * 4).tolist(), ids.nbytes]
             for w, s, e in zip(own, cuts, cuts[1:]):
-                self.memo[w] = raw[s:e]
-        spaced = set(spaced)
-        rest = [w for w in missing if w not in spaced]
-        self.memo.update(zip(rest, self.whole(rest)))
+                known[w] = raw[s:e]
+        rest = [w for w in missing if w not in known]
+        known.update(zip(rest, self.whole(rest)))
+        for w, x in known.items():
+            self.memo.new[w][:] = x
+        self.memo.update(known)
+        self.memo.new.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.words:
@@ -114,14 +137,12 @@ class Encoder:
         return out
 
     def known(self, texts: list[str]) -> list[bytes]:
-        lists = [self.words(t) for t in texts]
-        met = set(chain.from_iterable(lists))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {w: self.memo[w] for w in met if w in self.memo}
-        if missing := met.difference(self.memo):
-            self.learn(sorted(missing))
+        self.memo.turn()
         get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in lists]
+        parts = [list(map(get, self.words(t))) for t in texts]
+        if self.memo.new:
+            self.learn(list(self.memo.new))
+        return [b"".join(p) for p in parts]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
