@@ -28,10 +28,10 @@ from .tokens import encoder, tokenizer_path
 MAGIC = b"QIDS0001"
 HEAD = "<IIIII"  # ids, alphabet's size, bytes of alphabet, bytes of code, crc32 of both
 FOOT = "<QQQI8s"  # index's offset and length, blocks, crc32 of the index, magic
-BLOCK = 4096
-LANES = 512
+BLOCK = 2048
+LANES = 1024
 REFRESH = 128
-SLOTS = 4096
+SLOTS = 2048
 RUNS = 8
 MIX_BITS = 22
 GAIN = 24
