@@ -4,63 +4,34 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import types
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_dir: list[str] = []
+from ..operators.components import connected_components
+from ..plans.scratch import Scratch, partitions
 
+__all__ = ["Scratch", "arrow_rows", "connected_components", "open_file", "partitions", "running_totals", "sorted_groups", "worker_state", "write_file"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return _own_dir[0]
+#: Rows of whole texts that one Arrow batch brings to Python.
+TEXT_ROWS = 1000
 
 
-class Scratch:
-    """Tables written once to the shared folder, so that a lost executor costs no earlier stage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.count = 0
-
-    def path(self, name: str = "t") -> str:
-        self.count += 1
-        return f"{self.base}/{self.count:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Only for tables from which everything that reads them has been written."""
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                remove(self.spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int = TEXT_ROWS):
+    """Batches of at most so many rows for what runs inside: texts may be long, and a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def worker_state() -> dict:
@@ -171,54 +142,11 @@ def running_totals(scratch: Scratch, df: DataFrame, group: list[str], order: lis
             yield pa.RecordBatch.from_arrays([*b.columns, *more, pa.array([pid] * b.num_rows, pa.int32())], [*b.schema.names, *(f"start_{v}" for v in values), "_pid"])
 
     dealt = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
-    rows = scratch.table(dealt.mapInArrow(local, schema), "running")
+    with arrow_rows(spark):
+        rows = scratch.table(dealt.mapInArrow(local, schema), "running")
     sums = rows.groupBy(*group, "_pid").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, "_pid", *(F.coalesce(F.sum(f"_s_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values))
     base = scratch.table(base.coalesce(1), "bases")
     joined = rows.join(base, [*group, "_pid"], "left")
     return joined.select(*df.columns, *((F.col(f"start_{v}") + F.col(f"_b_{v}")).alias(f"start_{v}") for v in values))
-
-
-def connected_components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): component is the smallest node that can be reached.
-
-    Alternating large-star and small-star steps: every node hands its larger neighbours, then its smaller ones, to its
-    least neighbour. Each step is a sum by key and a join of written tables, which Spark may split where a hub is hot.
-    """
-    cur = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        j = both.join(low, "u")
-        if large:
-            out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        out = scratch.table(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-        scratch.drop(low)
-        return out
-
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        return r[0], str(r[1])
-
-    seen = mark(cur)
-    for _ in range(most):
-        if not seen[0]:
-            break
-        a = star(cur, True)
-        b = star(a, False)
-        scratch.drop(cur, a)
-        cur, now = b, mark(b)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_rows
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 1024
@@ -122,7 +122,8 @@ def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | N
     a source of their own. Queues are in the order in which the table is stored.
     """
     spark = docs.sparkSession
-    rows = tokenized(docs, lambda d: scratch.table(d, "ids", "zstd"), key, text, source, tokenizer or tokenizer_path(), end_id)
+    with arrow_rows(spark):
+        rows = tokenized(docs, lambda d: scratch.table(d, "ids", "zstd"), key, text, source, tokenizer or tokenizer_path(), end_id)
     sums = scratch.table(rows.groupBy("pid", "source").agg(F.sum("n").alias("n")), "sums")
     named = {("~" if k is None else f"={k}"): float(v) for k, v in (targets or {}).items() if v > 0}
     sizes = sums.groupBy("source").agg(F.sum("n").alias("n"))

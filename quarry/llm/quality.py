@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions, worker_state
+from .common import Scratch, arrow_rows, partitions, worker_state
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 64, 4, 2
 HIDDEN = 32
@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 #: Buckets in one row of the sums that partitions send, and partitions whose sums meet first.
 SLICE, FAN = 64, 64
 #: Bytes of text that are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +133,9 @@ def contexts(scratch: Scratch, docs: DataFrame, text: str = "text") -> np.ndarra
     once = some.repartition(n, "grp", "slice").mapInArrow(add, schema)
     whole = once.withColumn("grp", F.lit(0)).repartition(n, "slice").mapInArrow(add, schema)
     out = np.zeros((BUCKETS // SLICE, SLICE * DIM), np.int64)
-    for r in whole.select("slice", "sums").collect():  # BUCKETS x DIM numbers, whatever the input
+    with arrow_rows(docs.sparkSession):
+        found = whole.select("slice", "sums").collect()  # BUCKETS x DIM numbers, whatever the input
+    for r in found:
         out[r["slice"]] += np.frombuffer(r["sums"], np.int64)
     return out.reshape(BUCKETS, DIM)
 
@@ -225,7 +227,8 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, key: str = "doc_id
             x = pooled(b.column(3), vectors).astype(np.float32)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "fold", "x"])
 
-    rows = some.mapInArrow(features, "id long, y int, fold int, x binary").limit(2 * SAMPLE).collect()
+    with arrow_rows(docs.sparkSession):
+        rows = some.mapInArrow(features, "id long, y int, fold int, x binary").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions
+from .common import Scratch, arrow_rows, connected_components, partitions
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -117,7 +117,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, key: str = "doc_id", text
     once each; a null doc_id is never a component's name, unless nothing else is in it. An empty table gives no rows.
     """
     # Grouped by more than the later joins' key: those then deal both sides themselves and can split a hot fingerprint.
-    rows = scratch.table(fingerprints(docs, key, text, k), "fingerprints")
+    with arrow_rows(docs.sparkSession):
+        rows = scratch.table(fingerprints(docs, key, text, k), "fingerprints")
     classes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     likely = scratch.table(may_have_partner(classes.select("fp")), "likely")
     links = ball_links(likely)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_rows
 from .tokens import encoder, tokenizer_digest, tokenizer_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -52,7 +52,8 @@ def token_counts(docs: DataFrame, cache: str, text: str = "text", tokenizer: str
     known = read_cache(spark, cache).where(F.col("tokenizer") == version)
     some = docs.select(digest.alias("digest"), content.alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
     misses = some.join(known.select("digest"), "digest", "left_anti")
-    count_misses(misses, path).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    with arrow_rows(spark):
+        count_misses(misses, path).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # Grouped by more than the join's key: the join then deals both sides itself and can split a digest that is hot.
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("_n")).select(F.col("digest").alias("_digest"), "_n")
     own = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]

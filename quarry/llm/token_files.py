@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_file, partitions, write_file
+from .common import Scratch, arrow_rows, open_file, partitions, write_file
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"QIDS0001"
@@ -346,5 +346,6 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark, "op1")
-    files = scratch.table(write_token_files(docs, scratch.path("ids")), "files")
+    with arrow_rows(spark):
+        files = scratch.table(write_token_files(docs, scratch.path("ids")), "files")
     return read_documents(files.where("n_docs > 0"))
