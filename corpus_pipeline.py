@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, quality, secrets, simhash
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, arrow_rows
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents' labels, scores at 0.3 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit(Scratch(spark, "stage3"), docs, labels)
-    return quality.score(docs, model, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    scratch = Scratch(spark, "stage3")
+    model = quality.fit(scratch, docs, labels)
+    with arrow_rows(spark):
+        return scratch.table(quality.score(docs, model, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns), "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
