@@ -88,7 +88,7 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def tile_links(codes: Codes, dtype: str, least: float, t: pa.Table) -> tuple | None:
-    """(rep, links first met here, least rep linked to) of the rows of one tile that have links."""
+    """(rep, links first met here, least rep reached) of the rows of one tile that have links. rep names a class of copies."""
     t = t.combine_chunks()
     rep, n, piece = (t[c].to_numpy() for c in ("rep", "n", "piece"))
     order = np.argsort(rep, kind="stable")
@@ -129,7 +129,8 @@ def near_vectors(scratch: Scratch, vectors: DataFrame, key: str = "vec_id", colu
     spark = vectors.sparkSession
     rows, dtype, dim = parsed(vectors, key, column)
     rows = scratch.table(rows, "vectors")
-    classes = scratch.table(rows.where("vec is not null").groupBy("vec").agg(F.min(F.coalesce("vec_id", F.lit(2**63 - 1))).alias("rep"), F.count("*").alias("n")), "classes")
+    classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     few = sample(classes, dtype, SAMPLE)
     if not len(few):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -142,7 +143,7 @@ def near_vectors(scratch: Scratch, vectors: DataFrame, key: str = "vec_id", colu
                 keys = codes.keys(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys.tolist(), pa.list_(pa.int32()))], ["vec", "rep", "n", "keys"])
 
-    coded = scratch.table(classes.mapInArrow(index, "vec binary, rep long, n long, keys array<int>"), "codes")
+    coded = scratch.table(classes.select("vec", "rep", "n").mapInArrow(index, "vec binary, rep long, n long, keys array<int>"), "codes")
     large = coded.select(F.posexplode("keys").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
     large = scratch.table(large.select("table", "bucket", F.ceil(F.col("size") / TILE).cast("int").alias("pieces")), "large")
     dealt = coded.select("vec", "rep", "n", F.posexplode("keys").alias("table", "bucket")).join(large, ["table", "bucket"], "left")
@@ -158,8 +159,11 @@ def near_vectors(scratch: Scratch, vectors: DataFrame, key: str = "vec_id", colu
     found = scratch.table(tiles.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(link, "rep long, links long, parent long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     members = connected_components(scratch, found.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
-    of_class = classes.join(counts, "rep", "left").join(members.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = scratch.table(of_class.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "result")
+    named = members.join(classes.select(F.col("rep").alias("node"), "first_id"), "node")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    of_class = classes.join(counts, "rep", "left").join(named, "rep", "left")
+    of_class = scratch.table(of_class.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")), "result")
     out = rows.join(of_class, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
