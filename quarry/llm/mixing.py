@@ -58,7 +58,9 @@ def mix(scratch: Scratch, docs: DataFrame, size: str = "size", source: str = "so
     spark = docs.sparkSession
     added = ("source_size", "target", "copies", "taken")
     own = [c for c in docs.columns if c not in added]
-    rows = docs.select(*own, F.when(F.col(source).isNull(), "~").otherwise(F.concat(F.lit("="), F.col(source))).alias("_s"), F.col(size).alias("_z"), F.lit(1).cast("long").alias("_one"))
+    # Texts, if docs has any, stay where they are until each row's copies are known.
+    kept = scratch.table(docs.select(*own).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = kept.select("_row", F.when(F.col(source).isNull(), "~").otherwise(F.concat(F.lit("="), F.col(source))).alias("_s"), F.col(size).alias("_z"), F.col(key).alias("_k"), F.lit(1).cast("long").alias("_one"))
     found = rows.groupBy("_s").agg(F.sum("_z").alias("z"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
     if len(found) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -70,19 +72,19 @@ def mix(scratch: Scratch, docs: DataFrame, size: str = "size", source: str = "so
         # Copies times 2**20 for each document, as an integer: sums of any length stay exact.
         plan.append((r["_s"], r["z"], float(t), min(most << 20, round(each * (1 << 20)))))
     plan_df = spark.createDataFrame(plan, "_s string, source_size long, target double, _each long")
-    placed = running_totals(scratch, rows.withColumn("_k", F.col(key)), ["_s"], ["_z", "_k"], ["_one"]).drop("_k")
+    placed = running_totals(scratch, rows, ["_s"], ["_z", "_k"], ["_one"])
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("_s")), F.lit(1 << 20))
-    j = placed.join(plan_df, "_s")
+    j = placed.join(plan_df, "_s").withColumn("_offset", offset)
     upto = lambda n: F.expr(f"({n} * _each + _offset) div 1048576")
-    j = j.withColumn("_offset", offset).withColumn("copies", upto("(start__one + 1)") - upto("start__one"))
-    return j.select(*own, "source_size", "target", "copies", (F.col("_z") * F.col("copies")).alias("taken"))
+    copies = (upto("(start__one + 1)") - upto("start__one")).alias("copies")
+    each = scratch.table(j.select("_row", "source_size", "target", copies, (F.col("_z") * copies).alias("taken")), "copies")
+    return kept.join(each, "_row").select(*own, *added)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, size, source_size, target, taken, copies; see mix()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    scratch = Scratch(spark, "op8")
-    return mix(scratch, scratch.table(docs, "sizes")).drop("source")
+    return mix(Scratch(spark, "op8"), docs).drop("source")
 
 
 assert math.log2(MOST << 20) < 31
