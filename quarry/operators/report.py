@@ -38,7 +38,7 @@ accepted = lambda c: F.when(F.col("accepted") == 1, c)
 
 METRICS = (
     Metric("lines_accepted", "accepted_lines", lambda: F.count_distinct("line_id"), 0),
-    Metric("candidates_considered", "order_events", lambda: F.count("*"), 0),
+    Metric("candidates_considered", "order_events", lambda: F.sum("n"), 0),
     Metric("avg_accept_score", "events", lambda: F.avg(accepted(F.col("score")))),
     Metric("max_latency_ms", "events", lambda: F.max("latency_ms")),
     Metric("avg_latency_ms", "events", lambda: F.avg("latency_ms")),
@@ -66,10 +66,12 @@ def match_health(tenants: DataFrame, order_lines: DataFrame, events: DataFrame,
     groups = rows.join(tenants.select("tenant_id", "plan"), "tenant_id").groupBy("tenant_id", "plan", "channel", "day").agg(F.count_distinct("line_id").alias("lines_total"))
     population: dict[str, tuple[DataFrame, tuple[str, ...]]] = {"orders": (order_lines, LINE_KEYS), "events": (events, EVENT_KEYS)}
     if used & {"accepted_lines", "order_events"}:
-        lines = order_lines.select("line_id", F.col("tenant_id").alias("order_tenant"), "channel", F.col("day").alias("order_day"))
-        both = events.select("line_id", "tenant_id", "accepted").join(lines, "line_id")
-        population["accepted_lines"] = (both.where("accepted = 1").select("line_id", "tenant_id", "channel", F.col("order_day").alias("day")), LINE_KEYS)
-        population["order_events"] = (both.select(F.col("order_tenant").alias("tenant_id"), "channel", F.col("order_day").alias("day")), LINE_KEYS)
+        # Events meet their orders once for each line and tenant, not one by one.
+        per_line = events.groupBy("line_id", "tenant_id").agg(F.count("*").alias("n"), F.max("accepted").alias("accepted"))
+        lines = order_lines.where(F.col("day").between(first, last)).select("line_id", F.col("tenant_id").alias("order_tenant"), "channel", "day")
+        both = per_line.join(lines, "line_id")
+        population["accepted_lines"] = (both.where("accepted = 1").select("line_id", "tenant_id", "channel", "day"), LINE_KEYS)
+        population["order_events"] = (both.select(F.col("order_tenant").alias("tenant_id"), "channel", "day", "n"), LINE_KEYS)
     if "repeats" in used:
         seen = events.where("accepted = 1").select("tenant_id", "day", "item_code").distinct()
         before = seen.select("tenant_id", F.col("day").alias("before"), "item_code")
