@@ -46,11 +46,14 @@ def pack_families(items: DataFrame) -> DataFrame:
 def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Lines with the normalised text and its counts, attributes of the text without known identifiers, and brands in it."""
     cat = completed(catalogue)
-    # Runs of word characters with what is between them: any identifier of up to 4 words that stands alone is one of them.
+    # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone,
+    # and begins and ends with a word character, is one of them.
+    index = identifier_index(cat).select("tenant", "value").distinct()
+    longest = index.agg(F.coalesce(F.max(F.regexp_count("value", F.lit(r"(?U)\w+"))), F.lit(1))).first()[0]
     seg = F.regexp_extract_all("raw_text", F.lit(r"(?U)\w+|\W+"), F.lit(0))
     first = F.when(F.get(seg, F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1)
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.filter(F.transform(seg, lambda _, i: F.when((F.pmod(i - first, F.lit(2)) == 0) & (i + 2 * k < F.size(seg)), F.array_join(F.slice(seg, i + 1, 2 * k + 1), ""))), lambda s: s.isNotNull())))
-    index = identifier_index(cat).select("tenant", "value").distinct()
+    run = lambda i, k: F.when((F.pmod(i - first, F.lit(2)) == 0) & (i + 2 * k < F.size(seg)), F.array_join(F.slice(seg, i + 1, 2 * k + 1), ""))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max(0, longest - 1))), lambda k: F.array_compact(F.transform(seg, lambda _, i: run(i, k)))))
     found = lines.select("line_id", "tenant", F.explode(F.array_distinct(spans)).alias("value")).join(index, ["tenant", "value"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
     brands = cat.where("brand <> ''").select("tenant", X.normalise(F.col("brand")).alias("b")).where("b <> ''").distinct()
     most = brands.agg(F.coalesce(F.max(F.size(F.split("b", " "))), F.lit(1))).first()[0]
