@@ -78,7 +78,8 @@ def mix(scratch: Scratch, docs: DataFrame, size: str = "size", source: str = "so
     upto = lambda n: F.expr(f"({n} * _each + _offset) div 1048576")
     copies = (upto("(start__one + 1)") - upto("start__one")).alias("copies")
     each = scratch.table(j.select("_row", "source_size", "target", copies, (F.col("_z") * copies).alias("taken")), "copies")
-    return kept.join(each, "_row").select(*own, *added)
+    # Always by a shuffle of both, as texts move the same way at every size.
+    return kept.join(each.hint("merge"), "_row").select(*own, *added)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
