@@ -17,8 +17,12 @@ EXPANSIONS = (
     (r"(?U)\bayam\b", "chicken"),
     (r"(?U)\bsusu\b", "milk"),
 )
+#: What counts as a token, a quantity, a request beyond one item, an identifier, a number.
 TOKEN = r"(?U)\d+/\d+|\d+(?:\.\d+)?|[a-z]+"
 QUANTITY = r"(?U)(\d+/\d+|\d+(?:\.\d+)?)\s*(mm|cm|inch|kg|g|ml|l)\b"
+COMPLEX = r"\b(not|except|instead|or)\b"
+IDENTIFIER_TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+NUMBER = r"(?U)\d+(?:[./]\d+)?"
 #: Dimension and factor to mm, g or ml of each unit.
 UNITS = {"mm": ("length", 1.0), "cm": ("length", 10.0), "inch": ("length", 25.4), "kg": ("weight", 1000.0), "g": ("weight", 1.0), "ml": ("volume", 1.0), "l": ("volume", 1000.0)}
 #: The words of each categorical attribute.
@@ -30,10 +34,14 @@ CATEGORIES = {
     "steel_grade": r"\bstainless (304|316|410)\b",
 }
 ATTRIBUTES = ("colour", "disc_kind", "grade", "length", "material", "steel_grade", "volume", "weight")
+#: What can be seen of noise, by name.
+NOISE = {
+    "pack_word": r"(?iU)\b(?:ctn|carton|box|case|pack|packet)\b",
+    "dimension_or_weight_token": "(?iU)\\d\\s*(?:mm|cm|kg|inch|\"|″)",
+    "selected_malay_word": r"(?iU)\b(?:skru|ayam|susu)\b",
+}
+#: Texts that ask for no item.
 NON_ITEMS = ("delivery charge", "delivery fee", "opening balance")
-COMPLEX = r"\b(not|except|instead|or)\b"
-IDENTIFIER_TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
-NUMBER = r"(?U)\d+(?:[./]\d+)?"
 
 
 def casefold(c: Column) -> Column:
@@ -113,9 +121,7 @@ def noise_flags(raw_text: Column, uom_text: Column, buyer_sku: Column, raw_barco
     found = F.array_compact(
         F.array(
             flag((buyer_sku != "") | (raw_barcode != ""), "structured_identifier"),
-            flag(F.concat(raw_text, F.lit(" "), uom_text).rlike(r"(?iU)\b(?:ctn|carton|box|case|pack|packet)\b"), "pack_word"),
-            flag(raw_text.rlike("(?iU)\\d\\s*(?:mm|cm|kg|inch|\"|″)"), "dimension_or_weight_token"),
-            flag(raw_text.rlike(r"(?iU)\b(?:skru|ayam|susu)\b"), "selected_malay_word"),
+            *(flag((F.concat(raw_text, F.lit(" "), uom_text) if name == "pack_word" else raw_text).rlike(pattern), name) for name, pattern in NOISE.items()),
             flag(raw_text.contains("/") | raw_text.contains("  "), "separator_or_spacing"),
         )
     )
