@@ -79,12 +79,21 @@ def counts(items: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("k"), F.size(F.filter(items, lambda y: y == x)).cast("long").alias("v"))))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two maps of counts; 0 where either is empty. All sums are of integers, so their order does not matter."""
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, v: s + v * v)
+def square(m: Column) -> Column:
+    """The sum of squares of a map of counts."""
+    return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, v: s + v * v)
+
+
+def cosine(a: Column, b: Column, a_square: Column | None = None, b_square: Column | None = None) -> Column:
+    """Of two maps of counts; 0 where either is empty. All sums are of integers, so their order does not matter.
+
+    Where no item occurs twice on either side (then the squares add up to the size) shared keys are counted by hashing.
+    """
+    na, nb = square(a) if a_square is None else a_square, square(b) if b_square is None else b_square
     zero = F.lit(0).cast("long")
     dot = F.aggregate(F.map_keys(a), zero, lambda s, k: s + F.element_at(a, k) * F.coalesce(F.try_element_at(b, k), zero))
-    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt(square(a) * square(b))), F.lit(0.0))
+    dot = F.when((na == F.size(a)) & (nb == F.size(b)), F.size(F.array_intersect(F.map_keys(a), F.map_keys(b))).cast("long")).otherwise(dot)
+    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt(na * nb)), F.lit(0.0))
 
 
 def attributes(t: Column) -> Column:

@@ -88,9 +88,12 @@ def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 def scored(pairs: DataFrame, queries: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
     """Pairs with score and conflicts."""
+    squares = lambda *names: {f"{n}_square": X.square(F.col(n)) for n in names}
+    queries, items = queries.withColumns(squares("qwords", "qgrams")), items.withColumns(squares("words", "grams"))
     j = pairs.join(queries, ["line_id", "tenant"]).join(items, ["tenant", "code"]).join(evidence.select("line_id", "codes"), "line_id")
     identified = F.array_contains("codes", F.col("code"))
-    blend = TOKEN_WEIGHT * X.cosine(F.col("qwords"), F.col("words")) + GRAM_WEIGHT * X.cosine(F.col("qgrams"), F.col("grams"))
+    cosine = lambda k: X.cosine(F.col(f"q{k}"), F.col(k), F.col(f"q{k}_square"), F.col(f"{k}_square"))
+    blend = TOKEN_WEIGHT * cosine("words") + GRAM_WEIGHT * cosine("grams")
     brand = F.when((F.size("mentioned") > 0) & ~F.array_contains("mentioned", F.col("brand")), F.array(F.lit("brand"))).otherwise(_none())
     bad = F.array_sort(F.concat(X.conflicts(F.col("requested"), F.col("offered")), brand))
     score = F.round(F.when(identified, F.greatest(blend, F.lit(IDENTIFIED))).otherwise(blend), 8)
