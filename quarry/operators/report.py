@@ -80,7 +80,8 @@ def match_health(tenants: DataFrame, order_lines: DataFrame, events: DataFrame,
         off = items.where("disabled = 1").select("tenant_id", "item_code").distinct()
         population["disabled"] = (events.where("accepted = 1").join(off, ["tenant_id", "item_code"], "left_semi"), EVENT_KEYS)
     out = groups
-    for kind in dict.fromkeys(m.population for m in wanted):
+    # All that is keyed as the groups are comes first: one dealing of the groups serves those joins, another the rest.
+    for kind in sorted(used, key=lambda p: (population[p][1] != LINE_KEYS, p)):
         df, keys = population[kind]
         own = [m for m in wanted if m.population == kind]
         if keys == LINE_KEYS or kind == "events":
