@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..operators.components import connected_components
 from ..plans.scratch import Scratch, partitions
 
-__all__ = ["Scratch", "arrow_rows", "connected_components", "open_file", "partitions", "running_totals", "sorted_groups", "worker_state", "write_file"]
+__all__ = ["Scratch", "arrow_rows", "connected_components", "forget", "open_file", "partitions", "running_totals", "sorted_groups", "worker_state", "write_file"]
 
 #: Rows of whole texts that one Arrow batch brings to Python.
 TEXT_ROWS = 1000
@@ -39,6 +39,12 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
 
 
+def forget(*names: str) -> None:
+    """Frees what other operators' tasks have left with this worker."""
+    for n in names:
+        worker_state().pop(n, None)
+
+
 # Storage as executors see it: a shared file system, or whatever pyarrow opens by URI.
 
 

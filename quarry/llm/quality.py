@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_rows, partitions, worker_state
+from .common import Scratch, arrow_rows, forget, partitions, worker_state
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 64, 4, 2
 HIDDEN = 32
@@ -98,6 +98,7 @@ def contexts(scratch: Scratch, docs: DataFrame, text: str = "text") -> np.ndarra
     def count(batches):
         from pyspark import TaskContext
 
+        forget("encoders")
         place, sign = index_vectors()
         out = np.zeros(BUCKETS * DIM, np.int64)
         for b in batches:
