@@ -1,10 +1,11 @@
-"""Near-duplicate vectors by iterative quantisation.
+"""Near-duplicate vectors by signs of random projections.
 
-Rotations are learned on a bounded sample (ITQ: alternately the nearest corners of the cube and the rotation that brings
-the centred, whitened-free sample closest to them), each giving one balanced bit for each dimension. The bits of several
-rotations, dealt into tables of a few bits each, are a multi-index: with T tables any two codes that differ in fewer than
-T bits agree in some table. T and the bits of a table follow from the number of vectors and from how often vectors at the
-least cosine agree in a table, measured on the sample. Vectors that meet in a table are compared by their originals.
+Each bit of a vector's code is the sign of its projection on a random direction, drawn without regard to the vectors. Two
+vectors at cosine c agree in a bit with the chance 1 - acos(c) / pi, whatever the other vectors are, so a pair at the least
+cosine meets in none of T tables of k bits with the chance (1 - (1 - acos(least) / pi) ** k) ** T, and closer pairs more
+rarely: T follows from k for every pair alike. (Directions learned on the vectors or centred on their mean have no such
+bound: pairs next to the mean are torn apart far more often than others.) The sample only sets k, by what is cheapest.
+Vectors that meet in a table are compared by their originals.
 
 Buckets of any size are cut into tiles, so that no task holds more than two pieces of one. A link that is found in many
 tables counts in the first in which its vectors meet. Exact copies are one class throughout.
@@ -24,10 +25,18 @@ from .vectors import parsed, sample, unpack
 
 LEAST = 0.95
 SAMPLE = 20_000
-#: Mean rows of a bucket, and rows of a piece of a large one.
-BUCKET, TILE = 64, 1500
-#: Chance, by the sample's measure, that a link at the least cosine meets in no table.
+#: Rows of a piece of a large bucket, and comparisons that cost as much as to deal a row to a table.
+TILE, DEAL = 1500, 500
+#: Chance that a link at the least cosine meets in no table.
 MISS = 1e-6
+#: Bits of a table at most, and tables and vectors on which their number is tried.
+BITS, TRIED, TRIED_ON = 24, 8, 5000
+
+
+def tables_needed(bits: int, least: float) -> int:
+    """So many tables that a pair at the least cosine is missed by all with a chance of at most MISS."""
+    met = (1 - math.acos(min(max(least, -1.0), 1.0)) / math.pi) ** bits
+    return math.ceil(math.log(MISS) / math.log1p(-met)) if 0 < met < 1 else 1
 
 
 class Codes:
@@ -37,41 +46,27 @@ class Codes:
         rng = np.random.default_rng(seed)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.dim = u.shape[1]
-        self.mean = u.mean(0)
-        c = u - self.mean
-        self.bits = int(min(24, max(4, round(math.log2(max(rows, 1) / BUCKET + 1)))))
-        self.proj = np.zeros((self.dim, 0))
-        # How often a vector and one at the least cosine from it agree in a table.
-        some = u[rng.permutation(len(u))[:2000]]
-        turn = rng.normal(size=some.shape)
-        turn -= (turn * some).sum(1, keepdims=True) * some
-        norm = np.linalg.norm(turn, axis=1, keepdims=True)
-        near = some * least + turn / np.where(norm > 0, norm, 1) * math.sqrt(1 - least * least)
-        met, self.tables = 0.0, 0
-        while True:
-            self.proj = np.concatenate([self.proj, self.rotation(c, rng)], 1)
-            self.tables = self.proj.shape[1] // self.bits
-            if not self.tables:
-                continue
-            met = float((self.keys(some) == self.keys(near)).mean())
-            need = math.ceil(math.log(MISS) / math.log(1 - min(max(met, 1e-3), 1 - 1e-9)))
-            if self.tables >= need:
-                self.tables = need
-                return
-
-    def rotation(self, c: np.ndarray, rng) -> np.ndarray:
-        d = self.dim
-        r = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        for _ in range(15):
-            b = np.where(c @ r >= 0, 1.0, -1.0)
-            s, _, t = np.linalg.svd(c.T @ b)
-            r = s @ t
-        # Signs do not hang on the columns' order: shuffled, so that tables mix them.
-        return r[:, rng.permutation(d)]
+        some = u[rng.permutation(len(u))[:TRIED_ON]]
+        signs = (some @ rng.normal(size=(self.dim, TRIED * BITS)) >= 0).reshape(len(some), TRIED, BITS)
+        full = signs @ (1 << np.arange(BITS, dtype=np.int64))
+
+        def cost(k: int) -> float:
+            # Tables, times what a row costs in one: dealing it, and comparing it with those it meets.
+            pairs = sum(int((n * (n - 1)).sum()) for t in range(TRIED) for n in [np.unique(full[:, t] & ((1 << k) - 1), return_counts=True)[1]])
+            share = max(pairs / (TRIED * max(1, len(some) * (len(some) - 1))), 0.5**k)
+            return tables_needed(k, least) * (DEAL + rows * share)
+
+        self.bits = min(range(4, BITS + 1), key=cost)
+        self.tables = tables_needed(self.bits, least)
+        self.proj = rng.normal(size=(self.dim, self.tables * self.bits))
 
     def keys(self, u: np.ndarray) -> np.ndarray:
-        bits = ((u - self.mean) @ self.proj[:, : self.tables * self.bits] >= 0).reshape(len(u), self.tables, self.bits)
-        return bits @ (1 << np.arange(self.bits, dtype=np.int64))
+        out = np.empty((len(u), self.tables), np.int64)
+        step = max(1, 4_000_000 // self.proj.shape[1])
+        for s in range(0, len(u), step):
+            bits = (u[s : s + step] @ self.proj >= 0).reshape(-1, self.tables, self.bits)
+            out[s : s + step] = bits @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -120,6 +120,21 @@ def test_op4_short_vectors_and_one_row(spark, tmp_path):
     assert rows_of(vector_dedup.op4_vector_dedup(spark, vectors(spark, tmp_path / "o", [(9, [1.0, 2.0])])), "vec_id", "n_links", "kept") == [(9, 0, True)]
 
 
+def test_op4_tables_find_pairs_next_to_the_mean():
+    """Vectors that share a direction, a third of them close to it: pairs at the bound meet in some table there too."""
+    r = np.random.default_rng(1)
+    d = r.normal(size=64)
+    d /= np.linalg.norm(d)
+    x = np.concatenate([d + 0.02 * r.normal(size=(2000, 64)), d + 0.1 * r.normal(size=(4000, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = r.normal(size=u.shape)
+    turn -= (turn * u).sum(1, keepdims=True) * u
+    near = u * 0.95 + turn / np.linalg.norm(turn, axis=1, keepdims=True) * np.sqrt(1 - 0.95**2)
+    for rows in (3000, 1_000_000):
+        codes = vector_dedup.Codes(x, rows)
+        assert (codes.keys(u) == codes.keys(near)).any(1).all()
+
+
 def brute_search(rows, step, k=10):
     out = {}
     for q, v in rows:
