@@ -19,17 +19,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id; documents of null doc_id stay, unless they are in a group."""
+    """Of each group of linked rows the one of smallest doc_id (null ones last; of equal ones any); rows without links stay."""
     scratch = Scratch(spark, "stage9")
-    found = scratch.table(simhash.near_duplicates(scratch, docs), "groups")
-    gone = scratch.table(found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct(), "gone")
-    out = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = scratch.table(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return out
-    # Rows that repeat a doc_id are of one group if they are linked; one of them stays, whichever comes first by text.
-    hit = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(hit)
+    # Rows are told apart by a number, written once: doc_ids may be null or repeated.
+    kept = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = scratch.table(simhash.later_rows(scratch, kept, "_row"), "gone")
+    return kept.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

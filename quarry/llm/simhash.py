@@ -48,15 +48,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(v), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, fp), and the column named by row: fp as a signed 64-bit integer."""
+    more = [row] if row else []
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text, *more).mapInArrow(run, "doc_id long, fp long" + "".join(f", `{c}` long" for c in more))
 
 
 def _masks(radius: int) -> np.ndarray:
@@ -119,15 +120,31 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, key: str = "doc_id", text
     # Grouped by more than the later joins' key: those then deal both sides themselves and can split a hot fingerprint.
     with arrow_rows(docs.sparkSession):
         rows = scratch.table(fingerprints(docs, key, text, k), "fingerprints")
-    classes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    of_class = _firsts(scratch, rows, F.col("doc_id"))
+    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def _firsts(scratch: Scratch, rows: DataFrame, value) -> DataFrame:
+    """(fp, first) for every fingerprint of rows: the least value among the rows that links reach."""
+    classes = scratch.table(rows.groupBy("fp").agg(F.min(value).alias("own")), "classes")
     likely = scratch.table(may_have_partner(classes.select("fp")), "likely")
     links = ball_links(likely)
     members = connected_components(scratch, links)
-    named = members.join(classes, members["node"] == classes["fp"]).select("node", "component", "first_id")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch.table(named.drop("first_id").join(least, "component").select(F.col("node").alias("fp"), "component_id"), "named")
-    of_class = scratch.table(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
-    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = members.join(classes, members["node"] == classes["fp"]).select("node", "component", "own")
+    least = named.groupBy("component").agg(F.min("own").alias("first"))
+    named = scratch.table(named.drop("own").join(least, "component").select(F.col("node").alias("fp"), "first"), "named")
+    return scratch.table(classes.join(named, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")), "components")
+
+
+def later_rows(scratch: Scratch, docs: DataFrame, row: str, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+    """The row numbers (column row, one for each row of docs) of all rows but the first of their group of linked rows.
+
+    First is the smallest doc_id, null ones last, and of equal ones the smallest row number.
+    """
+    with arrow_rows(docs.sparkSession):
+        rows = scratch.table(fingerprints(docs, key, text, k, row), "fingerprints")
+    of_class = _firsts(scratch, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("at")))
+    return rows.join(of_class, "fp").where(F.col(row) != F.col("first.at")).select(row)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,18 @@ def test_pipeline(spark, tmp_path):
     assert c.run(spark, sf).count() == pieces.count()
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    """Repeated and null doc_ids: only rows of one group are copies of each other."""
+    import corpus_pipeline as c
+
+    r = random.Random(14)
+    t = [words(r, 60) for _ in range(8)]
+    rows = [(1, t[0]), (5, t[0]), (5, t[1]), (7, t[2]), (None, t[2]), (None, t[3]), (None, t[4]), (None, t[4]), (9, t[5]), (9, t[6]), (10, t[7]), (10, t[7])]
+    docs = spark.createDataFrame([(d, x, "s") for d, x in rows], "doc_id long, text string, source string")
+    got = rows_of(c.drop_near_duplicates(spark, docs, ""), "doc_id", "text")
+    assert got == sorted([(1, t[0]), (5, t[1]), (7, t[2]), (None, t[3]), (None, t[4]), (9, t[5]), (9, t[6]), (10, t[7])], key=repr)
+
+
 def test_oracles(spark):
     from quarry.llm.queries import ORACLES, QUERIES
 
