@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of key-like characters that holds a digit, an access key's fixed form, or the head of a private key. Its features are length,
-character transitions, dictionary coverage, the path of its document and the words beside it. The forest is trained on
+A candidate is an access key's fixed form, a private key's block from BEGIN to END (without END: the head and the lines of
+key after it), any value that is assigned to a name with a secret word in it, or a run of at least 12 key-like characters
+that holds a digit. A quoted value goes to its closing quote, another to the next white space or quote. Features are length, character transitions, dictionary coverage, the path of its document and the words beside it. The forest is trained on
 labelled findings (a bounded table; without one, labelled_findings() makes one from a seed) and evaluated inside Spark:
 its nodes are arrays, and a tree is walked by higher-order functions.
 """
@@ -16,13 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a candidate may be, words that mark an assignment of a secret or a harmless identifier, and a dictionary.
-CANDIDATE = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,100}[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 SECRET_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
+ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+KEY_END = r"[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+KEY_BLOCK = rf"-----BEGIN {KEY_END}(?:(?:[^-]++|-(?!----))*+-----END {KEY_END}|(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
+#: After a name with a secret word and a mark of assignment. The first part is cheap and fails at most places.
+ASSIGNED = rf"(?<=[=:>]\s{{0,3}}[\"'`]?|(?i:bearer|basic)\s)(?<=(?:{SECRET_WORDS})[A-Za-z0-9_.\-]{{0,30}}[\"'`\])]{{0,2}}\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}[\"'`]?(?:(?:bearer|basic)\s)?)(?!(?i:bearer|basic)\s)"
+VALUE = r"(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|[^\s\"'`=:>][^\s\"'`]*)"
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,100}[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
+CANDIDATE = f"{ACCESS_KEY}|{KEY_BLOCK}|{ASSIGNED}{VALUE}|{RUN}"
 HARMLESS_WORDS = r"(?i)(?:sha1|sha256|md5|checksum|digest|commit|uuid|guid|revision|etag|integrity|hash|order|invoice|card|phone|isbn|version|build|example|http)"
 KNOWN_HEADS = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|npm_|pypi-|-----BEGIN)"
 DICTIONARY = r"(?:example|sample|test|dummy|changeme|placeholder|user|admin|name|file|data|page|image|index|module|package|library|release|version|service|server|client|config|number|string|value|type|path|the|and|for|with|that|this|from|tion|ing|ment|http|www|com|org|html)"
 BIGRAMS = r"(?:th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ou|ea|ng|le|se|ha)"
 TEST_PATH = r"(?i)(?:test|spec|fixture|example|sample|mock|docs?)(?:[/._-]|$)"
+#: Values that name, call or hide something rather than being it.
+NO_VALUE = r"(?i)^(?:true|false|null|none|nil|yes|no|on|off|undefined|required|optional|enabled|disabled|string|str|int|bool)?[,;.)\]}]*$|^[$<{\[(%*&]|^[*x.]+$|[(\[{]|^[A-Za-z]{1,12}\.[A-Za-z_.]+|^(?:your|my)[_-]"
 #: Characters before and after a candidate in which its neighbours are looked for.
 BEFORE, AFTER = 32, 16
 TREES, DEPTH, FINDINGS = 40, 7, 20_000
@@ -57,6 +67,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> list[Col
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         flag(before.rlike(HARMLESS_WORDS + "[^\\n]{0,12}$")),
         flag(before.rlike("[./@]$") | after.rlike("^[.@]\\w")),
+        count(c, "[^A-Za-z0-9_+/-]") / n,
+        flag(c.rlike(NO_VALUE)),
     ]
 
 
@@ -118,6 +130,31 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str
             if len(c) < 12:
                 c += "-" + word() + word() + word() + pick(string.digits, 3)
         out.append((c, b[-BEFORE:], a[:AFTER], path, i % 2))
+    # Values of any form after a secret word: chosen by people or made of marks, and what stands there without being one.
+    for i in range(n // 2):
+        joint = r.choice([" = ", "=", ": ", ' = "', "='", ':"', ': "', ' = "'])
+        quoted = joint[-1] in "\"'"
+        name = r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "pwd", "Password", "DB_PASSWORD", "client_secret"])
+        if i % 2:
+            c = r.choice([
+                lambda: "".join(word() for _ in range(r.randint(3, 7))),
+                lambda: "".join(r.choice([word(), word().title(), r.choice("@&!#%.$-_"), pick(string.digits, r.randint(1, 4))]) for _ in range(r.randint(3, 6))) + r.choice("!&@#$") + pick(string.digits, 2),
+                lambda: pick(alnum + "!@#&%-_.", r.randint(6, 16)),
+                lambda: pick(string.ascii_letters, r.choice([12, 16, 20, 24, 28, 32, 40])),
+                lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(1, 20))) + "\n-----END PRIVATE KEY-----",
+            ])()
+        else:
+            c = r.choice([
+                lambda: r.choice(["true", "false", "null", "None", "yes", "no", "required", "optional", "enabled", "string", "true,", "null,"]),
+                lambda: r.choice(["${", "<", "{{", "$", "%"]) + r.choice(["TOKEN", "password", "SECRET_KEY", "your-token"]) + r.choice(["}", ">", "}}", ""]),
+                lambda: r.choice(["get", "load", "read", "input"]) + "_" + word() + "(" + r.choice(["", ")", "name)"]),
+                lambda: r.choice(["os.environ[", "config.", "settings.", "self.", "process.env."]) + word(),
+                lambda: r.choice(["changeme", "example", "placeholder", "dummy", "your-password", "test", "sample", "****", "xxxxxx"]) + r.choice(["", "", "-value", "_here"]),
+                lambda: word() + r.choice(["", ",", "."]),
+            ])()
+            if not quoted and r.random() < 0.4:
+                name = r.choice(["author", "private", "authors", "tokens", "secret"])
+        out.append((c, (words() + name + joint)[-BEFORE:], (joint[-1] if quoted else " ") + word()[: AFTER - 1], r.choice(paths), i % 2))
     return out
 
 
