@@ -210,3 +210,6 @@ SELECT 'missing_locally' AS invariant, count(*) FILTER (WHERE v IS NULL) AS n FR
     "utc_times": ctes("changes") + f" SELECT DISTINCT updated_at, {UTC.format('updated_at')} AS utc, strftime(CAST(updated_at AS TIMESTAMP) - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS second_before FROM changes",
 }
 ORACLES["line_split"] = ORACLES["line_split"].replace("WITH ", "WITH RECURSIVE ", 1)
+# The report without a window.
+ORACLES["report_days_all"] = report("day", "0000", "9999", DAY_BEFORE)
+ORACLES["report_months_all"] = report("month", "0000", "9999", MONTH_BEFORE)

@@ -18,6 +18,8 @@ from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Text days and months all lie between.
+EVER = ("0000", "9999")
 
 
 def query(f: Query) -> Query:
@@ -52,6 +54,18 @@ def report_months(spark, sf):
     return report.normalised(report.match_health(*_ledger(spark, sf, "month"), "1996-01", "1999-12", prior=report.prior_month))
 
 
+@query
+def report_days_all(spark, sf):
+    """report_days over every day of the table."""
+    return report.normalised(report.match_health(*_ledger(spark, sf, "day"), *EVER))
+
+
+@query
+def report_months_all(spark, sf):
+    """report_months over every month of the table."""
+    return report.normalised(report.match_health(*_ledger(spark, sf, "month"), *EVER, prior=report.prior_month))
+
+
 @query
 def report_slice(spark, sf):
     """Some metrics of some tenants: a plan without the scans of the others."""
