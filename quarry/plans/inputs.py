@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,12 +65,28 @@ FROM orders""",
     "local_records": """SELECT 'U' || CAST(user_id AS STRING) AS id, '{"k":' || CAST(max(event_id) % 100 AS STRING) || '}' AS payload, CASE WHEN user_id % 5 = 0 THEN max(event_id) ELSE min(event_id) END AS version, '' AS updated_utc, user_id % 3 = 0 AS dirty FROM events WHERE user_id % 11 <> 0 GROUP BY user_id""",
     "local_outbox": """SELECT 'op' || CAST(user_id AS STRING) AS op, 'U' || CAST(user_id AS STRING) AS id, '{"k":1}' AS payload, min(event_id) AS base, CASE WHEN user_id % 2 = 0 THEN 'pending' ELSE 'done' END AS state, 'key' || CAST(user_id AS STRING) AS "key" FROM events WHERE user_id % 6 = 0 GROUP BY user_id""",
 }
+# Aliases of every part, and lines whose buyers' codes meet them: more distinct codes, so that keys stay as ambiguous.
+SQL["aliases_all"] = SQL["aliases"].replace("p_partkey % 40 ", "p_partkey % 340 ").removesuffix(" WHERE p_partkey % 500 < 60")
+SQL["lines_all"] = SQL["lines"].replace("p_partkey % 40 ", "p_partkey % 340 ")
+WHOLE = {"aliases": "aliases_all", "lines": "lines_all"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole_aliases():
+    token = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(token)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input as a DataFrame."""
-    sql = SQL[name].replace(", 'g')", ")").replace('"key"', "`key`")
+    """One input as a DataFrame; within whole_aliases() those of WHOLE stand for the inputs they name."""
+    sql = SQL[WHOLE.get(name, name) if _whole.get() else name].replace(", 'g')", ")").replace('"key"', "`key`")
     return spark.sql(_placed(sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql})
 
 

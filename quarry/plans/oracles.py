@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import ctes
+from .inputs import SQL, WHOLE, ctes
 
 
 def norm(x: str) -> str:
@@ -213,3 +213,8 @@ ORACLES["line_split"] = ORACLES["line_split"].replace("WITH ", "WITH RECURSIVE "
 # The report without a window.
 ORACLES["report_days_all"] = report("day", "0000", "9999", DAY_BEFORE)
 ORACLES["report_months_all"] = report("month", "0000", "9999", MONTH_BEFORE)
+# The same over the aliases of every part.
+for _n in ("audit_aliases", "alias_targets", "identifier_evidence", "identifier_counters", "lexical_candidates", "lexical_issues", "match_decisions", "match_contract", "predictions", "proposal_curve", "review_queue"):
+    ORACLES[f"{_n}_all"] = ORACLES[_n]
+    for _cut, _all in WHOLE.items():
+        ORACLES[f"{_n}_all"] = ORACLES[f"{_n}_all"].replace(SQL[_cut], SQL[_all])

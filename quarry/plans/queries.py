@@ -13,7 +13,7 @@ from ..operators import decision, evaluation, identifiers, lexical, report, spli
 from ..operators.catalogue import eligible
 from ..sources.ledger import ledger
 from ..streaming.feed import list_changes
-from .inputs import load
+from .inputs import load, whole_aliases
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,3 +357,20 @@ def sync_invariants(spark, sf):
 def utc_times(spark, sf):
     c = F.col("updated_at")
     return load(spark, sf, "changes").select("updated_at").distinct().select("updated_at", dates.utc_text(c).alias("utc"), dates.second_before(c).alias("second_before"))
+
+
+# The queries that read aliases, over those of every part
+
+
+ALIASED = ("audit_aliases", "alias_targets", "identifier_evidence", "identifier_counters", "lexical_candidates", "lexical_issues", "match_decisions", "match_contract", "predictions", "proposal_curve", "review_queue")
+
+
+def _over_all(f: Query) -> Query:
+    def run(spark, sf):
+        with whole_aliases():
+            return f(spark, sf)
+
+    return run
+
+
+QUERIES.update({f"{n}_all": _over_all(QUERIES[n]) for n in ALIASED})
