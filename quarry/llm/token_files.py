@@ -6,8 +6,10 @@ its own checksum, so that any block can be decoded alone. Many blocks are coded
 The model of a block, over the ids that occur in it (its alphabet, stored in its head):
 - order 2 predicts the id that last followed the same two ids, order 1 the one that last followed the same id; each
   prediction has a run length of successes, and the hit rate seen so far at that run length is its weight;
-- order 0 counts ids; its cumulative counts are renewed every REFRESH ids;
-- the three are mixed linearly into one distribution, which drives a carry-less 48-bit range coder with 16-bit output.
+- order 0 counts ids; its cumulative counts are renewed at fixed places, which lie closer at a block's start;
+- the weights mix the three into one distribution: order 2's share of it stands first, order 1's next, order 0's last.
+  Where orders 2 and 1 name the same id, it has both shares. An id is coded in the first share that names it. The
+  distribution drives a 48-bit range coder with 16-bit output, whose carries are settled when a block ends.
 """
 
 from __future__ import annotations
@@ -25,153 +27,182 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_rows, open_file, partitions, write_file
 from .tokens import encoder, tokenizer_path
 
-MAGIC = b"QIDS0001"
+MAGIC = b"QIDS0002"
 HEAD = "<IIIII"  # ids, alphabet's size, bytes of alphabet, bytes of code, crc32 of both
 FOOT = "<QQQI8s"  # index's offset and length, blocks, crc32 of the index, magic
 BLOCK = 2048
-LANES = 2048
-REFRESH = 128
-SLOTS = 2048
+LANES = 4096
+#: Places in a block at which order 0's cumulative counts are renewed.
+RENEW = frozenset((32, 64, 128, 192, 256, 384, 512, 768, 1024, 1536))
+SLOTS = 1024
 RUNS = 8
+#: Where all ids are below this, a table tells their places in the alphabet.
+TABLED = 1 << 18
 MIX_BITS = 22
 GAIN = 24
+WHOLE = 1 << MIX_BITS
+#: The coder's range stays between TOP and FULL. An id takes at most 20 bits, as order 0 keeps a 16th of the whole.
+TOP, FULL = 2.0**32, 2.0**48 - 1
 
 
 class _Model:
     """The state of some lanes; ids are places in each block's alphabet.
 
-    Counts and weights are whole numbers in doubles: products stay below 2**48, so the floor of a quotient is exact, and
-    numpy divides doubles several times as fast as integers.
+    Arrays of one kind meet each other without conversions, which cost numpy more than the sums themselves. Counts stay
+    below 2**16: BLOCK * GAIN, and one for each id. Places are always within their arrays, so that looking them up need not
+    check it (mode="clip"). seen1 and seen2 hold a predicted place times RUNS, and its run.
     """
 
     def __init__(self, sizes: np.ndarray):
-        self.n, self.wide = len(sizes), int(sizes.max()) + 1
-        self.row = np.arange(self.n, dtype=np.int64)
-        self.at0, self.at1, self.at2, self.atr = self.row * self.wide, self.row * self.wide, self.row * SLOTS, self.row * RUNS
-        self.count = (np.arange(self.wide)[None] < sizes[:, None]).astype(np.float64).ravel()
-        self.next1 = np.full(self.n * self.wide, -1, np.int32)
-        self.run1 = np.zeros(self.n * self.wide, np.int8)
-        self.next2 = np.full(self.n * SLOTS, -1, np.int32)
-        self.run2 = np.zeros(self.n * SLOTS, np.int8)
-        self.rate1 = np.tile(np.linspace(6000, 48000, RUNS).astype(np.int64), self.n)
-        self.rate2 = np.tile(np.linspace(9000, 56000, RUNS).astype(np.int64), self.n)
-        self.x1 = np.zeros(self.n, np.int64)
-        self.x2 = np.zeros(self.n, np.int64)
-        self.renew(self.n)
-
-    def renew(self, k: int) -> None:
-        c = np.zeros((k, self.wide))
-        np.cumsum(self.count[: k * self.wide].reshape(k, self.wide)[:, :-1], axis=1, out=c[:, 1:])
-        self.total = c[:, -1].copy()
-        self.cum = c.ravel()
+        n = len(sizes)
+        self.wide = 1 << int(sizes.max()).bit_length()
+        row = np.arange(n, dtype=np.int64)
+        self.at0, self.at2, self.at_run = row * self.wide, row * SLOTS, row * RUNS
+        self.count = (np.arange(self.wide)[None] < sizes[:, None]).astype(np.uint16)
+        self.cum = np.zeros((n, self.wide), np.uint16)
+        self.seen1 = np.full(n * self.wide, -RUNS, np.int16)
+        self.seen2 = np.full(n * SLOTS, -RUNS, np.int16)
+        # Run 0 stands for no prediction; its rate stays 0.
+        rates = lambda a, b: np.tile(np.concatenate([[0], np.linspace(a, b, RUNS - 1)]).astype(np.int32), n)
+        self.rate1, self.rate2 = rates(6000, 48000), rates(9000, 56000)
+        self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.renew(n)
+
+    def renew(self, k: int, ids: np.ndarray | None = None) -> None:
+        """Takes in the ids since the last time, a row for each step."""
+        if ids is not None:
+            np.add.at(self.count.ravel(), (ids + self.at0[:k]).ravel(), np.uint16(GAIN))
+        np.cumsum(self.count[:k, :-1], axis=1, dtype=np.uint16, out=self.cum[:k, 1:])
+        self.flat, self.total = self.cum.ravel(), self.cum[:, -1].astype(np.float64)
 
     def predict(self, k: int) -> None:
-        """Predictions and weights of the first k lanes. The weights of orders 2, 1 and 0 add up to 1 << MIX_BITS."""
-        self.i1 = self.at1[:k] + self.x1[:k]
-        self.i2 = self.at2[:k] + ((self.x1[:k] * 2654435 + self.x2[:k] * 40503) >> 3) % SLOTS
-        self.p1, self.p2 = self.next1[self.i1], self.next2[self.i2]
-        self.j1, self.j2 = self.atr[:k] + self.run1[self.i1], self.atr[:k] + self.run2[self.i2]
-        whole = 1 << MIX_BITS
-        w2 = np.where(self.p2 >= 0, self.rate2[self.j2] * (whole - (whole >> 3)) >> 16, 0)
-        w1 = np.where(self.p1 >= 0, (self.rate1[self.j1] * (whole - (whole >> 4) - w2)) >> 16, 0)
-        self.w2, self.w1, self.w0 = w2.astype(np.float64), w1.astype(np.float64), (whole - w1 - w2).astype(np.float64)
-
-    def low0(self, c: np.ndarray, k: int) -> np.ndarray:
-        return np.floor(self.w0 * c / self.total[:k])
-
-    def interval(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        i = self.at0[:k] + x
-        s, e = self.low0(self.cum[i], k), self.low0(self.cum[i + 1], k)
-        start = s + np.where(self.p2 < x, self.w2, 0) + np.where(self.p1 < x, self.w1, 0)
-        return start, e - s + np.where(self.p2 == x, self.w2, 0) + np.where(self.p1 == x, self.w1, 0)
-
-    def find(self, v: np.ndarray, k: int) -> np.ndarray:
-        """The id whose interval holds v."""
-        s1, n1 = self.interval(np.maximum(self.p1, 0), k)
-        s2, n2 = self.interval(np.maximum(self.p2, 0), k)
-        past1, past2 = (self.p1 >= 0) & (v >= s1), (self.p2 >= 0) & (v >= s2)
-        x = np.where(past1 & (v < s1 + n1), self.p1, np.where(past2 & (v < s2 + n2), self.p2, -1))
-        rest = v - np.where(past2, self.w2, 0) - np.where(past1, self.w1, 0)
-        # floor(w0 * c / total) <= rest  <=>  c <= ((rest + 1) * total - 1) // w0
-        most = np.minimum(np.floor(((np.maximum(rest, 0) + 1) * self.total[:k] - 1) / self.w0), self.total[:k] - 1)
-        a, step = np.zeros(k, np.int64), 1 << (int(self.wide).bit_length() - 1)
-        while step:
-            up = np.minimum(a + step, self.wide - 1)
-            np.copyto(a, up, where=self.cum[self.at0[:k] + up] <= most)
-            step >>= 1
-        return np.where(x >= 0, x, a)
+        """Predictions of the first k lanes, and the shares w2 and w1; the rest of WHOLE is order 0's, `each` for each count."""
+        self.i1 = self.at0[:k] + self.x1[:k]
+        i2 = self.x1[:k] * 2654435
+        i2 += self.x2[:k]
+        i2 >>= 3
+        i2 &= SLOTS - 1
+        i2 += self.at2[:k]
+        self.i2 = i2
+        seen1, seen2 = self.seen1.take(self.i1, mode="clip"), self.seen2.take(i2, mode="clip")
+        self.p1, self.p2, self.run1, self.run2 = seen1 >> 3, seen2 >> 3, seen1 & 7, seen2 & 7
+        self.j1, self.j2 = self.run1.astype(np.int64), self.run2.astype(np.int64)
+        self.j1 += self.at_run[:k]
+        self.j2 += self.at_run[:k]
+        self.old1, self.old2 = self.rate1.take(self.j1, mode="clip"), self.rate2.take(self.j2, mode="clip")
+        w2 = self.old2 * ((WHOLE - (WHOLE >> 3)) >> 16)
+        w1 = (WHOLE - (WHOLE >> 4)) - w2
+        w1 >>= 4
+        w1 *= self.old1 >> 4
+        w1 >>= 8
+        both = (self.p1 == self.p2).astype(np.int32)
+        both *= w1
+        w2 += both
+        w1 -= both
+        self.w1, self.w2, self.past = w1, w2, w1 + w2
+        self.each = ((WHOLE - self.past) / self.total[:k]).astype(np.int32)
+
+    def order0(self, at: np.ndarray, each: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width in order 0's share. at: the ids' places in flat."""
+        start, width = self.flat.take(at, mode="clip").astype(np.int32), self.flat.take(at + 1, mode="clip").astype(np.int32)
+        width -= start
+        width *= each
+        start *= each
+        start += past
+        return start, width
 
     def learn(self, x: np.ndarray, k: int) -> None:
-        for p, j, rate, i, nxt, run in ((self.p1, self.j1, self.rate1, self.i1, self.next1, self.run1), (self.p2, self.j2, self.rate2, self.i2, self.next2, self.run2)):
-            hit, old = p == x, rate[j]
-            rate[j] = np.where(p >= 0, old + ((np.where(hit, 65000, 300) - old) >> 5), old)
-            run[i] = np.where(hit, np.minimum(run[i] + 1, RUNS - 1), 0)
-            nxt[i] = x
-        self.count[self.at0[:k] + x] += GAIN
-        self.x2[:k] = self.x1[:k]
+        fresh = x * np.int16(RUNS)
+        fresh += 1
+        for p, run, i, seen, old, j, rate in ((self.p1, self.run1, self.i1, self.seen1, self.old1, self.j1, self.rate1), (self.p2, self.run2, self.i2, self.seen2, self.old2, self.j2, self.rate2)):
+            hit = p == x
+            np.minimum(run, RUNS - 2, out=run)
+            run *= hit.astype(np.int16)
+            run += fresh
+            seen[i] = run
+            new = hit.astype(np.int32)
+            new *= 65000
+            new -= old
+            new >>= 5
+            new += old
+            rate[j] = new
+        np.multiply(self.x1[:k], 40503, out=self.x2[:k])
         self.x1[:k] = x
 
 
-TOP, BOTTOM, FULL = 1 << 32, 1 << 24, (1 << 48) - 1
-
-
-def _flush(low: np.ndarray, rng: np.ndarray, word) -> None:
-    """Shifts words out of the lanes that can spare them; word(lanes, value) takes them."""
-    while True:
-        same = (low ^ (low + rng)) < TOP
-        tight = ~same & (rng < BOTTOM)
-        go = np.flatnonzero(same | tight)
-        if not len(go):
-            return
-        t = np.flatnonzero(tight)
-        rng[t] = -low[t] & (BOTTOM - 1)
-        word(go, low[go] >> 32)
-        low[go] = (low[go] << 16) & FULL
-        rng[go] <<= 16
+assert RUNS == 8 and BLOCK * RUNS < 1 << 15 and BLOCK * (GAIN + 1) < 1 << 16
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's head and bytes. blocks: up to 2**18 / GAIN ids each, none empty."""
+    """Each block's head and bytes. blocks: 1 to BLOCK ids each."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     out: list = [None] * len(blocks)
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
-        pairs = [np.unique(blocks[i], return_inverse=True) for i in own]
-        lens = np.array([len(blocks[i]) for i in own])
-        x = np.zeros((len(own), lens[0]), np.int64)
-        for r, (_, inv) in enumerate(pairs):
-            x[r, : lens[r]] = inv
-        xt = np.ascontiguousarray(x.T)
-        m = _Model(np.array([len(a) for a, _ in pairs]))
-        low, rng = np.zeros(len(own), np.int64), np.full(len(own), FULL, np.int64)
-        room = lens[0] * 3 + 16
-        words, used = np.zeros(len(own) * room, "<u2"), np.zeros(len(own), np.int64)
-
-        def put(lanes, value):
-            words[lanes * room + used[lanes]] = value
-            used[lanes] += 1
-
-        k = len(own)
+        n, lens = len(own), np.array([len(blocks[i]) for i in own])
+        alphabets, places = [], np.zeros((n, lens[0]), np.int16)
+        most = max(int(blocks[i].max()) for i in own) + 1
+        where = np.zeros(most, np.int16) if most <= TABLED else None
+        for r, i in enumerate(own):
+            x = np.sort(blocks[i])
+            alphabet = x[np.concatenate([[True], x[1:] != x[:-1]])]
+            if where is None:
+                places[r, : lens[r]] = np.searchsorted(alphabet, blocks[i])
+            else:
+                where[alphabet] = np.arange(len(alphabet))
+                places[r, : lens[r]] = where[blocks[i]]
+            alphabets.append(alphabet)
+        xt = np.ascontiguousarray(places.T)
+        m = _Model(np.array([len(a) for a in alphabets]))
+        low, rng = np.zeros(n), np.full(n, FULL)
+        # A row holds a word of every lane; bit 16 of a word is a carry into the one before.
+        words, at = np.zeros((int(lens[0]) * 21 // 16 + 8) * n, np.uint32), np.arange(n, dtype=np.int64)
+        k, last = n, 0
         for t in range(lens[0]):
             while lens[k - 1] <= t:
                 k -= 1
-            if t and t % REFRESH == 0:
-                m.renew(k)
+            if t in RENEW:
+                m.renew(k, xt[last:t, :k])
+                last = t
             m.predict(k)
-            s, w = m.interval(v := xt[t, :k], k)
-            r = rng[:k] >> MIX_BITS
-            low[:k] += r * s.astype(np.int64)
-            rng[:k] = r * w.astype(np.int64)
-            _flush(low[:k], rng[:k], put)
-            m.learn(v, k)
+            x = xt[t, :k]
+            start, width = m.order0(m.at0[:k] + x, m.each, m.past)
+            hit1, hit2 = (m.p1 == x) & (m.w1 > 0), (m.p2 == x) & (m.w2 > 0)
+            start, width = np.where(hit1, m.w2, start), np.where(hit1, m.w1, width)
+            start *= (~hit2).astype(np.int32)
+            width = np.where(hit2, m.w2, width)
+            r = np.floor(rng[:k] * 2.0**-MIX_BITS)
+            low[:k] += r * start.astype(np.float64)
+            r *= width.astype(np.float64)
+            while (less := r < TOP).any():
+                word = np.floor(low[:k] * 2.0**-32)
+                words[at[:k]] = word.astype(np.uint32)
+                at[:k] += less.astype(np.int64) * n
+                by = less.astype(np.float64)
+                word *= by
+                word *= TOP
+                low[:k] -= word
+                by *= 65535
+                by += 1
+                low[:k] *= by
+                r *= by
+            rng[:k] = r
+            m.learn(x, k)
         for _ in range(3):
-            put(np.arange(len(own)), low >> 32)
-            low = (low << 16) & FULL
+            word = np.floor(low * 2.0**-32)
+            words[at] = word.astype(np.uint32)
+            at += n
+            low = (low - word * TOP) * 65536
+        rows, used = words.reshape(-1, n), at // n
+        for j in range(int(used.max()) - 1, 0, -1):
+            rows[j] *= used > j
+            rows[j - 1] += rows[j] >> 16
+        codes = np.ascontiguousarray(rows[: int(used.max())].astype("<u2").T)
         for r, i in enumerate(own):
-            alphabet = pairs[r][0].astype(np.int64)
-            head = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes(), 6)
-            code = words[r * room : r * room + used[r]].tobytes()
-            out[i] = struct.pack(HEAD, lens[r], len(alphabet), len(head), len(code), zlib.crc32(code, zlib.crc32(head))) + head + code
+            gaps = np.diff(alphabets[r], prepend=alphabets[r].dtype.type(0))
+            head = zlib.compress(gaps.astype("<u2" if int(gaps.max()) < 1 << 16 else "<u4").tobytes(), 1)
+            code = codes[r, : used[r]].tobytes()
+            out[i] = struct.pack(HEAD, lens[r], len(alphabets[r]), len(head), len(code), zlib.crc32(code, zlib.crc32(head))) + head + code
     return out
 
 
@@ -181,40 +212,59 @@ def decode_blocks(parts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray
     out: list = [None] * len(parts)
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
-        lens = np.array([parts[i][0] for i in own])
-        alphabets = [np.cumsum(np.frombuffer(zlib.decompress(parts[i][2]), "<u4").astype(np.int64)) for i in own]
+        n, lens = len(own), np.array([parts[i][0] for i in own])
+        heads = [zlib.decompress(parts[i][2]) for i in own]
+        alphabets = [np.cumsum(np.frombuffer(h, "<u2" if len(h) == 2 * parts[i][1] else "<u4"), dtype=np.int64) for i, h in zip(own, heads)]
         codes = [np.frombuffer(parts[i][3], "<u2") for i in own]
         room = max(map(len, codes)) + 8
-        words = np.zeros((len(own), room), np.int64)
+        words = np.zeros((n, room), np.uint16)
         for r, c in enumerate(codes):
             words[r, : len(c)] = c
         words = words.ravel()
         m = _Model(np.array([len(a) for a in alphabets]))
-        low, rng = np.zeros(len(own), np.int64), np.full(len(own), FULL, np.int64)
-        at = np.arange(len(own), dtype=np.int64) * room
-        code = (words[at] << 32) | (words[at + 1] << 16) | words[at + 2]
+        at = np.arange(n, dtype=np.int64) * room
+        # What the code lies above the range's low end.
+        above, rng = words[at] * TOP + words[at + 1] * 65536.0 + words[at + 2], np.full(n, FULL)
         at += 3
-
-        def take(lanes, _):
-            code[lanes] = ((code[lanes] << 16) & FULL) | words[at[lanes]]
-            at[lanes] += 1
-
-        xt = np.zeros((lens[0], len(own)), np.int64)
-        k = len(own)
+        xt = np.zeros((lens[0], n), np.int16)
+        k, last = n, 0
         for t in range(lens[0]):
             while lens[k - 1] <= t:
                 k -= 1
-            if t and t % REFRESH == 0:
-                m.renew(k)
+            if t in RENEW:
+                m.renew(k, xt[last:t, :k])
+                last = t
             m.predict(k)
-            r = rng[:k] >> MIX_BITS
-            v = np.minimum(np.floor((code[:k] - low[:k]) / r), (1 << MIX_BITS) - 1)
-            x = m.find(v, k)
-            s, w = m.interval(x, k)
+            r = np.floor(rng[:k] * 2.0**-MIX_BITS)
+            v = (above[:k] / r).astype(np.int32)
+            hit2 = v < m.w2
+            x, width = np.where(hit2, m.p2, m.p1), np.where(hit2, m.w2, m.w1)
+            start = m.w2 * (~hit2).astype(np.int32)
+            # Order 0: the last place whose cumulative count is not above what v says.
+            q = (v >= m.past).nonzero()[0]
+            past, each, base = m.past.take(q, mode="clip"), m.each.take(q, mode="clip"), m.at0.take(q, mode="clip")
+            most = ((v.take(q, mode="clip") - past) / each).astype(np.uint16)
+            a = base.copy()
+            for bit in reversed(range(m.wide.bit_length() - 1)):
+                up = (m.flat.take(a + (1 << bit), mode="clip") <= most).astype(np.int64)
+                up <<= bit
+                a += up
+            start[q], width[q] = m.order0(a, each, past)
+            x[q] = a - base
             xt[t, :k] = x
-            low[:k] += r * s.astype(np.int64)
-            rng[:k] = r * w.astype(np.int64)
-            _flush(low[:k], rng[:k], take)
+            above[:k] -= r * start.astype(np.float64)
+            r *= width.astype(np.float64)
+            while (less := r < TOP).any():
+                word = words.take(at[:k], mode="clip")
+                at[:k] += less.astype(np.int64)
+                by = less.astype(np.float64)
+                word = word * by
+                by *= 65535
+                by += 1
+                r *= by
+                above[:k] *= by
+                above[:k] += word
+            rng[:k] = r
             m.learn(x, k)
         for r, i in enumerate(own):
             out[i] = alphabets[r][xt[: lens[r], r]].astype(np.uint32)

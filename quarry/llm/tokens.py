@@ -11,7 +11,9 @@ from .common import worker_state
 
 DEFAULT = "byte_bpe_50k.json"
 #: Words of one generation of a worker's memory; what is used again moves to the next, and the one before is dropped.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
+#: Words of a row that goes to the library at once.
+ROW = 256
 #: Characters of text that are worked on at a time.
 CHARS = 2_000_000
 
@@ -28,24 +30,34 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class Words(dict):
-    """Ids of words. A word that is not known yet gets a place that learn() fills, where it has been handed out too."""
+class Memo:
+    """Ids of words, both as bytes: of those of the last generation, and of the new ones."""
 
     def __init__(self):
-        self.before: dict = {}
-        self.new: dict[str, bytearray] = {}
-
-    def __missing__(self, word: str):
-        known = self.before.get(word)
-        if known is None:
-            known = self.new[word] = bytearray()
-        self[word] = known
-        return known
-
-    def turn(self) -> None:
-        if len(self) > MEMO_WORDS:
-            self.before = dict(self)
-            self.clear()
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def get(self, words: list[bytes], learn) -> list[bytes]:
+        """learn(words) gives the ids of those that are in neither generation."""
+        found = list(map(self.now.get, words))
+        lost = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(lost, map(self.before.get, [words[i] for i in lost])):
+            found[i] = x
+        missing = [i for i in lost if found[i] is None]
+        if missing:
+            for i, x in zip(missing, learn([words[i] for i in missing])):
+                found[i] = x
+        self.now.update((words[i], found[i]) for i in lost)
+        if len(self.now) > MEMO_WORDS:
+            self.before, self.now = self.now, {}
+        return found
+
+
+#: Classes of characters, and what ends a text: a character that the library would be asked about.
+SPACE, LETTER, DIGIT, OTHER, END = 1, 2, 3, 4, 5
+END_MARK = "\x1c"
+#: Endings that the pattern takes together with an apostrophe before them.
+ONE, TWO = "stmd", ("re", "ve", "ll")
 
 
 class Encoder:
@@ -59,16 +71,20 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memo = Words()
-        self.words = None
+        self.memo, self.kinds = Memo(), None
         if path.endswith(".model"):
             import sentencepiece
 
             self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
             return
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.sp, self.tok = None, Tokenizer.from_file(path)
+        if hasattr(self.tok.model, "_resize_cache"):
+            # The library's own memory of words is smaller than the one here, and takes time when it is full.
+            model = self.tok.model
+            model._resize_cache(0)
+            self.tok.model = model
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -78,15 +94,23 @@ class Encoder:
             import numpy as np
             import regex
 
-            vocab = self.tok.get_vocab()
-            known = [*map(chr, range(0x1C)), *map(chr, range(0x20, 0x250)), *map(chr, range(0x2010, 0x2028)), "€"]
-            letter, digit, space = ("".join(re.escape(c) for c in known if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
-            other = f"[^{space}{letter}{digit}]"
-            self.words = re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?{other}+|[{space}]+(?![^{space}])|[{space}]+").findall
+            known = [*range(0x1C), *range(0x20, 0x250), *range(0x2010, 0x2028), 0x20AC]
+            kinds = np.zeros(max(known) + 2, np.uint8)  # the last one stands for all beyond
+            for c in known:
+                kinds[c] = next(k for k, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (OTHER, ".")) if regex.match(p, chr(c), regex.S))
+            kinds[ord(END_MARK)] = END
+            self.kinds = kinds
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
-            self.odd = re.compile(f"[^{''.join(map(re.escape, known))}]").search
-            self.opens = np.zeros(max(vocab.values()) + 1, bool)
-            self.opens[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
+            self.odd = re.compile(f"[^{''.join(re.escape(chr(c)) for c in known)}]").search
+            # Words alone, in the characters that stand for bytes in the vocabulary, go to the library's model in rows with a
+            # line feed between two, which is a token of its own.
+            self.signs = np.arange(256, dtype="<u4")
+            others = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b)]
+            self.signs[others] = 256 + np.arange(len(others))
+            self.rows = Tokenizer.from_file(path)
+            self.rows.model = self.tok.model
+            self.rows.pre_tokenizer = pre_tokenizers.Split(chr(int(self.signs[10])), "isolated")
+            self.feed = self.rows.token_to_id(chr(int(self.signs[10])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -95,57 +119,126 @@ class Encoder:
             return [np.array(x, np.uint32).tobytes() for x in self.sp.encode(texts, num_threads=1)]
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, missing: list[str]) -> None:
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        known: dict[str, bytes] = {}
-        # Each of these opens with the one space that it holds, so its first id tells where it begins in a row of them.
-        spaced = [w for w in missing if w[0] == " " and w[1:].isalpha()]
-        for k in range(0, len(spaced), 512):
-            own = spaced[k : k + 512]
-            ids = np.frombuffer(self.whole(["".join(own)])[0], np.uint32)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(own):
-                known.update(zip(own, self.whole(own)))
-                continue
-            raw, cuts = ids.tobytes(), [*(at * 4).tolist(), ids.nbytes]
-            for w, s, e in zip(own, cuts, cuts[1:]):
-                known[w] = raw[s:e]
+        known: dict[bytes, bytes] = {}
+        alone = [w for w in missing if b"\n" not in w] if self.feed is not None else []
+        groups = [alone[k : k + ROW] for k in range(0, len(alone), ROW)]
+        texts = [self.signs[np.frombuffer(b"\n".join(g), np.uint8)].tobytes().decode("utf-32-le") for g in groups]
+        for g, x in zip(groups, self.rows.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.feed) * 4
+            if len(cuts) == len(g) - 1:
+                raw = ids.tobytes()
+                known.update(zip(g, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))))
         rest = [w for w in missing if w not in known]
-        known.update(zip(rest, self.whole(rest)))
-        for w, x in known.items():
-            self.memo.new[w][:] = x
-        self.memo.update(known)
-        self.memo.new.clear()
+        known.update(zip(rest, self.whole([w.decode() for w in rest])))
+        return list(map(known.__getitem__, missing))
+
+    def parts(self, texts: list[str]):
+        """For some texts at a time: their places in the list, then the ids of all their words (flat, start and number of
+        each distinct word's), the words in order, and where each text ends among them. Other texts: places and ids."""
+        plain = [] if self.kinds is None else [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
+        start, chars = 0, 0
+        odd = [] if len(plain) == len(texts) else sorted({*range(len(texts))}.difference(plain))
+        for k, i in enumerate(plain):
+            chars += len(texts[i]) + 1
+            if chars < CHARS and k < len(plain) - 1:
+                continue
+            some, start, chars = plain[start : k + 1], k + 1, 0
+            found = self.words([texts[j] for j in some])
+            if found is None:
+                odd += [j for j in some if self.odd(texts[j])]
+                some = [j for j in some if not self.odd(texts[j])]
+                found = self.words([texts[j] for j in some]) if some else None
+            if some:
+                yield some, None, found
+        if odd:
+            yield odd, self.whole([texts[i] for i in odd]), None
+
+    def words(self, texts: list[str]):
+        """As parts() gives them; None if a text has a character that is not known."""
+        import numpy as np
+        import pyarrow as pa
+
+        text = END_MARK.join(texts) + END_MARK
+        at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds.take(at, mode="clip")
+        if not kind.min() or text.count(END_MARK) > len(texts):
+            return None
+        # A word begins where the class changes; a space goes with what follows it, so that this does not begin anew.
+        first = np.empty(len(kind), bool)
+        first[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        space, end = kind == SPACE, kind == END
+        first |= end
+        blank = at == 32
+        solid = ~(space | end)
+        first[1:] &= ~(blank[:-1] & solid[1:])
+        # The last of several white-space characters before a word stands alone, or goes with the word if it is a space.
+        first[1:-1] |= space[1:-1] & space[:-2] & solid[2:]
+        # An apostrophe that begins a word takes some endings, and what letters follow begin anew.
+        mark = np.flatnonzero(at == 39)
+        mark = mark[first[mark]]
+        if len(mark):
+            one, two = at[mark + 1], at[np.minimum(mark + 2, len(at) - 1)]
+            size = np.isin(one, [ord(c) for c in ONE]).astype(np.int64)
+            for a, b in TWO:
+                size[(one == ord(a)) & (two == ord(b))] = 2
+            mark, size = mark[size > 0], size[size > 0]
+            first[mark + 1] = False
+            past = mark + size + 1
+            first[past[kind[past] == LETTER]] = True
+        starts = np.flatnonzero(first)
+        ends = np.flatnonzero(end[starts])
+        raw = text.encode()
+        if len(raw) > len(text):
+            size = (at >= 0x80).astype(np.int32)
+            size += at >= 0x800
+            size += 1
+            starts = np.concatenate([[0], np.cumsum(size)])[starts]
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        each = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        cuts = np.frombuffer(each.dictionary.buffers()[1], np.int32)[: len(each.dictionary) + 1].tolist()
+        names = list(map(each.dictionary.buffers()[2].to_pybytes().__getitem__, map(slice, cuts[:-1], cuts[1:])))
+        mine = names.index(END_MARK.encode())
+        found = self.memo.get(names[:mine] + names[mine + 1 :], self.learn)
+        found.insert(mine, b"")
+        number = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(number) - number, number, each.indices.to_numpy(), ends
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.words:
-            return self.whole(texts)
+        import numpy as np
+
         out: list = [None] * len(texts)
-        direct = [i for i, t in enumerate(texts) if self.odd(t) or any(s in t for s in self.special)]
-        for i, x in zip(direct, self.whole([texts[i] for i in direct])):
-            out[i] = x
-        todo = [i for i in range(len(texts)) if out[i] is None]
-        start, chars = 0, 0
-        for k, i in enumerate(todo):
-            chars += len(texts[i])
-            if chars > CHARS or k == len(todo) - 1:
-                some = todo[start : k + 1]
-                for j, x in zip(some, self.known([texts[j] for j in some])):
-                    out[j] = x
-                start, chars = k + 1, 0
+        for places, direct, words in self.parts(texts):
+            if words:
+                flat, start, number, index, ends = words
+                n = number.take(index)
+                past = np.cumsum(n)
+                src = np.repeat(start.take(index) - past + n, n)
+                src += np.arange(len(src))
+                raw = flat.take(src).tobytes()
+                cuts = (past[ends] * 4).tolist()
+                direct = map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+            for i, x in zip(places, direct):
+                out[i] = x
         return out
 
-    def known(self, texts: list[str]) -> list[bytes]:
-        self.memo.turn()
-        get = self.memo.__getitem__
-        parts = [list(map(get, self.words(t))) for t in texts]
-        if self.memo.new:
-            self.learn(list(self.memo.new))
-        return [b"".join(p) for p in parts]
-
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.ids(texts)]
+        import numpy as np
+
+        out = [0] * len(texts)
+        for places, direct, words in self.parts(texts):
+            if words:
+                _, _, number, index, ends = words
+                counts = np.diff(np.cumsum(number.take(index))[ends], prepend=0).tolist()
+            else:
+                counts = [len(x) // 4 for x in direct]
+            for i, n in zip(places, counts):
+                out[i] = n
+        return out
 
 
 def encoder(path: str) -> Encoder:
