@@ -120,19 +120,45 @@ def test_op4_short_vectors_and_one_row(spark, tmp_path):
     assert rows_of(vector_dedup.op4_vector_dedup(spark, vectors(spark, tmp_path / "o", [(9, [1.0, 2.0])])), "vec_id", "n_links", "kept") == [(9, 0, True)]
 
 
-def test_op4_tables_find_pairs_next_to_the_mean():
-    """Vectors that share a direction, a third of them close to it: pairs at the bound meet in some table there too."""
-    r = np.random.default_rng(1)
-    d = r.normal(size=64)
+def at_the_bound(seed, n, dim, spread):
+    """Unit vectors that share a direction, a third of them close to it, and for each one at cosine 0.95."""
+    r = np.random.default_rng(seed)
+    d = r.normal(size=dim)
     d /= np.linalg.norm(d)
-    x = np.concatenate([d + 0.02 * r.normal(size=(2000, 64)), d + 0.1 * r.normal(size=(4000, 64))])
+    x = np.concatenate([d + spread * r.normal(size=(n // 3, dim)), d + 5 * spread * r.normal(size=(n - n // 3, dim))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x, u, vector_dedup.at_cosine(u, 0.95, r)
+
+
+def test_op4_tables_and_radius_find_pairs_next_to_the_mean():
+    for spread in (0.02, 0.2):
+        x, u, near = at_the_bound(1, 6000, 64, spread)
+        assert np.allclose((u * near).sum(1), 0.95)
+        for rows in (3000, 1_000_000):
+            codes = vector_dedup.Codes(x, rows)
+            a, b = codes.keys(u), codes.keys(near)
+            assert (a == b).any(1).all()
+            apart = (codes.unpacked(codes.sketches(a)) != codes.unpacked(codes.sketches(b))).sum(1)
+            assert apart.max() <= codes.radius
+
+
+def test_op4_rotations_are_learned_and_balanced():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 32))
+    x = centres[r.integers(0, 40, 4000)] + 0.3 * r.normal(size=(4000, 32))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    turn = r.normal(size=u.shape)
-    turn -= (turn * u).sum(1, keepdims=True) * u
-    near = u * 0.95 + turn / np.linalg.norm(turn, axis=1, keepdims=True) * np.sqrt(1 - 0.95**2)
-    for rows in (3000, 1_000_000):
-        codes = vector_dedup.Codes(x, rows)
-        assert (codes.keys(u) == codes.keys(near)).any(1).all()
+    turn = vector_dedup.rotations(u, 32, np.random.default_rng(5), None)
+    assert np.allclose(turn.T @ turn, np.eye(32), atol=1e-9)
+    loss = lambda t: np.square(np.sign(u @ t) / np.sqrt(32) - u @ t).sum()
+    drawn = [np.linalg.qr(r.normal(size=(32, 32)))[0] for _ in range(8)]
+    assert loss(turn) < min(map(loss, drawn))
+    d = u.mean(0) + 3 * centres[0]
+    d /= np.linalg.norm(d)
+    v = u + 2 * d
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    m = v.mean(0) / np.linalg.norm(v.mean(0))
+    share = lambda mean: np.abs((v @ vector_dedup.rotations(v, 64, np.random.default_rng(6), mean) >= 0).mean(0) - 0.5).mean()
+    assert share(m) < 0.15 < share(None)
 
 
 def brute_search(rows, step, k=10):
@@ -163,6 +189,60 @@ def test_op10(spark, tmp_path):
     assert [i for _, i, _ in got[0]] == [i for _, i in want[0]]  # all at distance 0: the smallest ids
 
 
+def test_op10_repeated_ids(spark, tmp_path):
+    """A query is compared with every row but its own, also with those of its id; each row of a query id is a query."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(200, 8)).astype(np.float32).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, x[30]), (0, x[31]), (100, x[100]), (7, x[7]), (7, x[8])]
+    got = {}
+    for g in vector_search.op10_vector_search(spark, vectors(spark, tmp_path, rows)).collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["score"], g["vec_id"]))
+    want = {}
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), n) for j, (n, w) in enumerate(rows) if j != i)[:10]
+            want.setdefault(q, []).extend((k + 1, d, n) for k, (d, n) in enumerate(near))
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()} == {0: 30, 100: 20}
+    hits = sum(len({(round(d, 9), n) for _, d, n in got[q]} & {(round(d, 9), n) for _, d, n in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(len({(round(d, 9), n) for _, d, n in v}) for v in want.values())
+    for v in got.values():
+        assert sorted(k for k, _, _ in v) == sorted([*range(1, 11)] * (len(v) // 10))
+
+
+def test_op10_second_level_lists():
+    """Cells cut again: probing finds at least nine in ten, and every row is in one list."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(3000, 16))
+    lists = vector_search.Lists(x, 3000, tops=12)
+    assert len(lists.subs) > 1 and lists.number == len(lists.tops) * len(lists.subs)
+    own = lists.assign(x)
+    sizes = np.bincount(own, minlength=lists.number)
+    found = 0
+    for q in range(0, 3000, 60):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        probed = lists.probe(x[q], sizes, 10)
+        assert len(set(probed)) == len(probed) < lists.number
+        found += np.isin(own[np.argsort(d)[:10]], probed).sum()
+    assert found >= 0.9 * 500
+    assert sorted(lists.order(x[0], len(lists.tops)).tolist()) == list(range(lists.number))
+
+
+def test_op10_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for g in vector_search.op10_vector_search(spark, sf).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def test_op10_few_and_none(spark, tmp_path):
     sf = vectors(spark, tmp_path, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5]), (2, [1.0, 0.5])])
     assert rows_of(vector_search.op10_vector_search(spark, sf), "query_id", "rank", "vec_id") == [(0, 1, 2), (0, 2, 2), (0, 3, 1)]
