@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is an access key's fixed form, a private key's block from BEGIN to END (without END: the head and the lines of
-key after it), any value that is assigned to a name with a secret word in it, or a run of at least 12 key-like characters
-that holds a digit. A quoted value goes to its closing quote, another to the next white space or quote. Features are length, character transitions, dictionary coverage, the path of its document and the words beside it. The forest is trained on
+A candidate is an access key's fixed form, a signed token of parts joined by dots, a private key's block from BEGIN to END
+(without END: the head and the lines of key after it), any value that is assigned to a name with a secret word in it, or a
+run of at least 12 key-like characters that holds a digit, however long the run and wherever the digit. A quoted value goes to its closing quote, another to the next white space or quote. Features are length, character transitions, dictionary coverage, the path of its document and the words beside it. The forest is trained on
 labelled findings (a bounded table; without one, labelled_findings() makes one from a seed) and evaluated inside Spark:
 its nodes are arrays, and a tree is walked by higher-order functions.
 """
@@ -13,24 +13,36 @@ import random
 import string
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a candidate may be, words that mark an assignment of a secret or a harmless identifier, and a dictionary.
 SECRET_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-KEY_END = r"[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+SIGNED = r"(?<![A-Za-z0-9_+/\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]+){1,4}+"
+KEY_END = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 KEY_BLOCK = rf"-----BEGIN {KEY_END}(?:(?:[^-]++|-(?!----))*+-----END {KEY_END}|(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
 #: After a name with a secret word and a mark of assignment. The first part is cheap and fails at most places.
 ASSIGNED = rf"(?<=[=:>]\s{{0,3}}[\"'`]?|(?i:bearer|basic)\s)(?<=(?:{SECRET_WORDS})[A-Za-z0-9_.\-]{{0,30}}[\"'`\])]{{0,2}}\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}[\"'`]?(?:(?:bearer|basic)\s)?)(?!(?i:bearer|basic)\s)"
 VALUE = r"(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|[^\s\"'`=:>][^\s\"'`]*)"
-RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,100}[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
-CANDIDATE = f"{ACCESS_KEY}|{KEY_BLOCK}|{ASSIGNED}{VALUE}|{RUN}"
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
+CANDIDATE = f"{ACCESS_KEY}|{SIGNED}|{KEY_BLOCK}|{ASSIGNED}{VALUE}|{RUN}"
 HARMLESS_WORDS = r"(?i)(?:sha1|sha256|md5|checksum|digest|commit|uuid|guid|revision|etag|integrity|hash|order|invoice|card|phone|isbn|version|build|example|http)"
-KNOWN_HEADS = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|npm_|pypi-|-----BEGIN)"
-DICTIONARY = r"(?:example|sample|test|dummy|changeme|placeholder|user|admin|name|file|data|page|image|index|module|package|library|release|version|service|server|client|config|number|string|value|type|path|the|and|for|with|that|this|from|tion|ing|ment|http|www|com|org|html)"
+KNOWN_HEADS = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|pypi-|-----BEGIN)"
+WORDS = """
+about access account action address admin after alpha also and any archive article auth author backup base book build
+cache call can center change changeme channel check client cloud code com commit company config connect content control
+copy create customer data date day default demo device digest docs document domain dummy edit email error event example
+export field file find first folder for form format from get group guide hash head help hidden home host house html http
+image index info input invoice item job just key know label language level library line link linux list local login look
+mail make map master media member memory menu message module money month more most name network news next node note
+object only open order org out package page paper part path people phone place placeholder plan point post private
+product public query release report sample search server service set site size source space start string system test
+text that the their this time title type update user value version video view web with word work world write your
+"""
+DICTIONARY = "(?:" + "|".join(sorted(WORDS.split(), key=lambda w: (-len(w), w))) + ")"
 BIGRAMS = r"(?:th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ou|ea|ng|le|se|ha)"
-TEST_PATH = r"(?i)(?:test|spec|fixture|example|sample|mock|docs?)(?:[/._-]|$)"
+TEST_PATH = r"(?i)(?:tests?|specs?|fixtures?|examples?|samples?|mocks?|docs?)(?:[/._-]|$)"
 #: Values that name, call or hide something rather than being it.
 NO_VALUE = r"(?i)^(?:true|false|null|none|nil|yes|no|on|off|undefined|required|optional|enabled|disabled|string|str|int|bool)?[,;.)\]}]*$|^[$<{\[(%*&]|^[*x.]+$|[(\[{]|^[A-Za-z]{1,12}\.[A-Za-z_.]+|^(?:your|my)[_-]"
 #: Characters before and after a candidate in which its neighbours are looked for.
@@ -73,7 +85,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> list[Col
 
 
 def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, before, after, path, label): made up, half of them secrets."""
+    """(candidate, before, after, path, label): made up, half of them secrets. Another seed gives findings to test on."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     alnum, hexa, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
@@ -90,7 +102,7 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str
         if i % 2:
             kind = r.random()
             if kind < 0.35:
-                c = r.choice([lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35), lambda: "glpat-" + pick(alnum, 20), lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----"])()
+                c = r.choice([lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35), lambda: "glpat-" + pick(alnum, 20), lambda: "eyJ" + pick(alnum + "_-", 33) + "." + pick(alnum + "_-", r.randint(20, 90)) + "." + pick(alnum + "_-", 43), lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----"])()
                 b, a = (words(), " " + word()) if r.random() < 0.6 else (words() + r.choice(["key", "token", "secret"]) + joint, tail + word())
             else:
                 name = r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "auth_token", "access_key", "client_secret", "pwd", "Token", "PASSWORD"])
@@ -215,41 +227,45 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> Forest:
     return Forest(np.array([r["x"] for r in rows], float), np.array([r["label"] for r in rows], float))
 
 
-def scanned(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of docs, then _between (the text between candidates), _cands and _found: for each candidate whether it is a secret.
+def scanned(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
+    """A row for each of docs: doc (all its columns), hits (each candidate c, the text `between` it and the one before, its score), tail.
 
-    Null and empty texts have no candidates. Texts are scanned whole.
+    Null and empty texts have no candidates, a null path is none. Texts are scanned whole. No column of docs can clash.
+    Each step maps one array, as an array that is looked up by place within a map may be made again for every element.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    body = F.coalesce(F.col(text), F.lit(""))
-    got = docs.select(*own, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("_cands"))
-    got = got.select(*own, "_cands", F.when(F.size("_cands") > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array(body)).alias("_between"))
-    where = F.coalesce(F.col(path), F.lit(""))
-    one = lambda c, i: F.struct(
-        F.array(*features(c, F.substring(F.get("_between", i), -BEFORE, BEFORE), F.substring(F.get("_between", i + 1), 1, AFTER), where)).alias("x")
-    )
-    got = got.select(*own, "_cands", "_between", F.transform("_cands", one).alias("_x"))
-    return got.select(*own, "_cands", "_between", F.transform("_x", lambda s: forest.score(s["x"])).alias("_scores")).withColumn("_found", F.transform("_scores", lambda s: s >= threshold))
+    body, where = F.coalesce(F.col(f"doc.`{text}`"), F.lit("")), F.coalesce(F.col(f"doc.`{path}`"), F.lit(""))
+    got = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    got = got.select("doc", F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("c"))
+    got = got.select("doc", "c", F.when(F.size("c") > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array(body)).alias("between"))
+    got = got.select("doc", F.slice(F.arrays_zip("c", "between", F.slice("between", 2, F.size("c") + 1).alias("next")), 1, F.size("c")).alias("hits"), F.element_at("between", -1).alias("tail"))
+    seen = lambda h: F.array(*features(h["c"], F.substring(h["between"], -BEFORE, BEFORE), F.substring(h["next"], 1, AFTER), where))
+    got = got.select("doc", F.transform("hits", lambda h: F.struct(h["c"].alias("c"), h["between"].alias("between"), seen(h).alias("x"))).alias("hits"), "tail")
+    return got.select("doc", F.transform("hits", lambda h: F.struct(h["c"].alias("c"), h["between"].alias("between"), forest.score(h["x"]).alias("score"))).alias("hits"), "tail")
 
 
 def findings(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each secret: doc_id, start and length (characters), digest (SHA-256, never the secret itself), score."""
+    """A row for each secret: doc_id, start and length (characters), digest (SHA-256, never the secret itself), score.
+
+    Starts are running sums over a text's candidates, one row each, so that a text of any number of them costs in
+    proportion. Null and empty texts give no rows; rows that repeat give theirs again.
+    """
     lean = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("source")).where(F.col("text").rlike(CANDIDATE))
-    got = scanned(lean, forest, "text", "source", threshold).where(F.exists("_found", lambda f: f))
-    start = lambda i: F.aggregate(F.slice("_between", 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice("_cands", 1, i), F.lit(0), lambda a, s: a + F.length(s))
-    rows = got.select("doc_id", F.explode(F.filter(F.transform("_cands", lambda c, i: F.struct(F.get("_found", i).alias("f"), start(i).alias("start"), F.length(c).alias("length"), F.sha2(c, 256).alias("digest"), F.get("_scores", i).alias("score"))), lambda s: s["f"])).alias("s"))
-    return rows.select("doc_id", "s.start", "s.length", "s.digest", F.round("s.score", 6).alias("score"))
+    got = scanned(lean, forest, "text", "source").select("doc.doc_id", F.monotonically_increasing_id().alias("row"), "hits").where(F.exists("hits", lambda h: h["score"] >= threshold))
+    each = F.transform("hits", lambda h: F.struct((F.length(h["between"]) + F.length(h["c"])).alias("past"), F.length(h["c"]).alias("length"), F.when(h["score"] >= threshold, F.sha2(h["c"], 256)).alias("digest"), h["score"].alias("score")))
+    rows = got.select("doc_id", "row", F.posexplode(each).alias("at", "s")).select("doc_id", "row", "at", "s.*")
+    end = F.sum("past").over(Window.partitionBy("row").orderBy("at"))
+    return rows.withColumn("start", (end - F.col("length")).cast("int")).where("digest is not null").select("doc_id", "start", "length", "digest", F.round("score", 6).alias("score"))
 
 
 def redacted(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every secret replaced by MASK; other texts, null ones included, stay as they are."""
-    got = scanned(docs, forest, text, path, threshold)
-    parts = F.transform("_between", lambda s, i: F.concat(s, F.when(F.coalesce(F.get("_found", i), F.lit(False)), MASK).otherwise(F.coalesce(F.get("_cands", i), F.lit("")))))
-    new = F.when(F.exists("_found", lambda f: f), F.array_join(parts, "")).otherwise(F.col(text))
-    return got.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    """docs with every secret replaced by MASK; other texts, null ones included, and all other columns stay as they are."""
+    got = scanned(docs, forest, text, path)
+    parts = F.transform("hits", lambda h: F.concat(h["between"], F.when(h["score"] >= threshold, MASK).otherwise(h["c"])))
+    new = F.when(F.exists("hits", lambda h: h["score"] >= threshold), F.concat(F.array_join(parts, ""), "tail")).otherwise(F.col(f"doc.`{text}`"))
+    return got.select(*(new.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets in all documents, whole; see findings(). Empty tables and texts give no rows."""
+    """The secrets in all documents; see findings(). Very long texts are scanned whole; empty tables and texts give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return findings(docs, train(spark))
