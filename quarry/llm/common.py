@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..operators.components import connected_components
 from ..plans.scratch import Scratch, partitions
 
-__all__ = ["Scratch", "arrow_rows", "connected_components", "forget", "open_file", "partitions", "running_totals", "sorted_groups", "worker_state", "write_file"]
+__all__ = ["Scratch", "arrow_rows", "connected_components", "forget", "open_file", "partitions", "running_totals", "sorted_groups", "spare", "worker_state", "write_file"]
 
 #: Rows of whole texts that one Arrow batch brings to Python.
 TEXT_ROWS = 1000
@@ -34,6 +34,14 @@ def arrow_rows(spark: SparkSession, n: int = TEXT_ROWS):
         spark.conf.set(name, before)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """The name, or where columns have it (in any case) the name with underscores after it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_state() -> dict:
     """What one Python worker keeps between tasks."""
     return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
@@ -153,6 +161,6 @@ def running_totals(scratch: Scratch, df: DataFrame, group: list[str], order: lis
     sums = rows.groupBy(*group, "_pid").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, "_pid", *(F.coalesce(F.sum(f"_s_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values))
-    base = scratch.table(base.coalesce(1), "bases")
+    base = scratch.table(base, "bases")
     joined = rows.join(base, [*group, "_pid"], "left")
     return joined.select(*df.columns, *((F.col(f"start_{v}") + F.col(f"_b_{v}")).alias(f"start_{v}") for v in values))

@@ -6,6 +6,9 @@ its share to the others. Served token by token this has a closed form: by the en
 min(size_s, weight_s * t_k) tokens, where t_k is the time at which all queues together have been served k windows. So
 each document's place follows from the tokens before it in its own queue, which a distributed running total gives, and
 deficits carry over windows and partitions alike. The windows are laid end to end and cut into sequences.
+
+Within a window the queues' shares lie one after another, so that a sequence is mostly of one or two sources; it is windows, of
+64 sequences, that hold the mixture.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, running_totals
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 1024
 WINDOW = 64 * LENGTH
-#: Queues of their own; sources beyond the largest so many share one more.
+#: Queues whose quotas every task holds; sources beyond the largest so many share one more, in the order in which queues of
+#: their own would have served them.
 QUEUES = 1023
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -113,13 +117,14 @@ def tokenized(docs: DataFrame, folder_table, key: str, text: str, source: str, t
     return folder_table(rows.mapInArrow(encode, "doc_id long, source string, pid int, before long, n long, ids binary"))
 
 
-def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, window: int = WINDOW, queues: int = QUEUES) -> DataFrame:
     """Packs every document, with end_id after it, into sequences of `length`; gives the pieces (see PIECES).
 
     targets: weight of each source (null by None); else its share of all tokens, so that every window has the mixture of
-    the whole. Sources without a weight, or beyond the QUEUES largest, share a queue, weighted by its tokens. All
-    sequences but the last are full. Null texts are empty (end_id alone); repeated rows are packed each; null sources are
-    a source of their own. Queues are in the order in which the table is stored.
+    the whole. Sources without a weight, and those beyond the `queues` largest, share a queue, weighted by its tokens, in which
+    each document comes at the share of its own source that is before it: every one of them is spread over the queue evenly.
+    All sequences but the last are full. Null texts are empty (end_id alone); repeated rows are packed each; null sources
+    are a source of their own. Queues are in the order in which the table is stored.
     """
     spark = docs.sparkSession
     with arrow_rows(spark):
@@ -129,22 +134,28 @@ def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | N
     sizes = sums.groupBy("source").agg(F.sum("n").alias("n"))
     if targets is not None:
         sizes = sizes.where(F.col("source").isin(list(named)))
-    top = [tuple(r) for r in sizes.orderBy(F.desc("n"), "source").limit(QUEUES).collect()]  # bounded by QUEUES
+    top = [tuple(r) for r in sizes.orderBy(F.desc("n"), "source").limit(queues).collect()]  # bounded
     whole = int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     rest = whole - sum(n for _, n in top)
     top.sort()
     weights = [named.get(s, 0.0) if targets is not None else float(n) for s, n in top]
-    queues = [n for _, n in top]
+    tokens = [n for _, n in top]
     if rest:
-        queues.append(rest)
+        tokens.append(rest)
         weights.append(rest / whole * (sum(weights) or 1.0) if targets is not None else float(rest))
-    queue_of = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(top)], "source string, queue int")
-    # Earlier tokens of the same queue: in earlier partitions, and in the own partition in sources of smaller name.
-    in_queue = sums.join(queue_of, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(top))))
-    by_part = in_queue.groupBy("queue", "pid").agg(F.sum("n").alias("n")).withColumn("part_base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    by_source = in_queue.withColumn("own_base", F.coalesce(F.sum("n").over(Window.partitionBy("queue", "pid").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    base = scratch.table(by_source.join(by_part, ["queue", "pid"]).select("pid", "source", "queue", (F.col("part_base") + F.col("own_base")).alias("base")).coalesce(1), "bases")
-    plan = Schedule(queues, weights, window) if queues else None
+    queue_of = scratch.table(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(top)], "source string, queue int"), "queues")
+    # Earlier tokens of the same source: in earlier partitions, and in the own partition, which the row knows.
+    base = running_totals(scratch, sums.select("pid", "source", "n"), ["source"], ["pid"], ["n"]).select("pid", "source", F.col("start_n").alias("base"))
+    base = scratch.table(base.join(queue_of, "source", "left"), "bases")
+    placed = rows.join(base, ["pid", "source"]).withColumn("at", F.col("before") + F.col("base"))
+    if rest:
+        # Documents of the shared queue in order of their place in their own source; ties by name and partition.
+        size = sums.groupBy("source").agg(F.sum("n").alias("size"))
+        time = (F.col("at").cast("double") / F.col("size")).alias("time")
+        shared = placed.where("queue is null").select("pid", "source", "before", "at", "n").join(size, "source").select("pid", "source", "before", "n", time, F.lit(0).alias("g"))
+        order = running_totals(scratch, shared, ["g"], ["time", "source", "pid"], ["n"]).select("pid", "source", "before", F.col("start_n").alias("shared_at"))
+        placed = placed.join(order, ["pid", "source", "before"], "left").withColumn("at", F.coalesce("shared_at", "at"))
+    plan = Schedule(tokens, weights, window) if tokens else None
 
     def cut(batches):
         for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
@@ -165,11 +176,22 @@ def pack(scratch: Scratch, docs: DataFrame, targets: dict[str | None, float] | N
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], [x.split()[0] for x in PIECES.split(", ")])
 
-    placed = rows.join(base, ["pid", "source"]).select("doc_id", "queue", (F.col("before") + F.col("base")).alias("at"), "n", "ids")
-    return placed.mapInArrow(cut, PIECES)
+    return placed.select("doc_id", F.coalesce("queue", F.lit(len(top))).alias("queue"), "at", "n", "ids").mapInArrow(cut, PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, in the mixture of the whole table; see pack()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return pack(Scratch(spark, "op6"), docs)
+
+
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, whole, empty): whether the pieces of op6_packing() make up each document's tokens, end to end, and whether
+    these are the end id alone. doc_ids are unique here."""
+    pieces = op6_packing(spark, sf_dir)
+    ends = F.sum(F.col("start") + F.col("length")) - F.sum("start")
+    whole = (ends == F.max("doc_tokens")) & (F.min("start") == 0) & (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens")) & (F.count_distinct("start") == F.count("*")) & (F.min("length") > 0)
+    return pieces.groupBy("doc_id").agg(whole.alias("whole"), (F.max("doc_tokens") == 1).alias("empty"))
+
+
+TOKENS_ORACLE = "SELECT doc_id, true AS whole, coalesce(text, '') = '' AS empty FROM documents"

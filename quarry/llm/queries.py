@@ -15,5 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_vector_search": vector_search.op10_vector_search,
+    # What SQL can tell of the operators above that it cannot express.
+    "mixing_targets": mixing.mixing_targets,
+    "packed_tokens": packing.packed_tokens,
 }
-ORACLES = {"op2_warc": warc.ORACLE, "op4_vector_dedup": vector_dedup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op4_vector_dedup": vector_dedup.ORACLE, "mixing_targets": mixing.TARGETS_ORACLE, "packed_tokens": packing.TOKENS_ORACLE}

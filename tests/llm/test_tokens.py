@@ -196,6 +196,58 @@ def test_schedule_fills_windows_in_proportion():
                 assert (abs(served - 256 * w) <= 1.001).all()
 
 
+def round_robin(sizes, weights, window):
+    """Queue by queue, token by token: each window gives every queue its share and what it is owed from before, whole tokens at
+    a time; a queue that has run out leaves its share to the others. Tokens served of each queue after each window."""
+    from fractions import Fraction
+
+    left, owed, served, out = list(sizes), [Fraction(0)] * len(sizes), [0] * len(sizes), []
+    while any(left):
+        room = Fraction(min(window, sum(left) + sum(owed)))
+        while room > 0:
+            live = [q for q in range(len(sizes)) if left[q] - owed[q] > 0]
+            if not live:
+                break
+            w = sum(weights[q] for q in live)
+            step = min([room, *(Fraction((left[q] - owed[q]) * w, 1) / weights[q] for q in live)])
+            for q in live:
+                owed[q] += step * weights[q] / w
+            room -= step
+        for q in range(len(sizes)):
+            n = int(owed[q])
+            owed[q] -= n
+            left[q] -= n
+            served[q] += n
+        out.append(tuple(served))
+        if room > 0:
+            break
+    return out
+
+
+def test_schedule_is_deficit_round_robin():
+    from fractions import Fraction
+
+    r = random.Random(5)
+    cases = [([1000, 3000, 50], [1000, 3000, 50]), ([5000, 10, 700, 3], [1, 1, 5, 2]), ([r.randint(1, 3000) for _ in range(12)], [r.randint(1, 9) for _ in range(12)])]
+    for sizes, weights in cases:
+        s = packing.Schedule(sizes, weights, 256)
+        want = round_robin(sizes, [Fraction(w) for w in weights], 256)
+        for k in range(1, s.windows):
+            assert max(abs(a - b) for a, b in zip(s.quota(k).tolist(), want[k - 1])) <= 1, k
+
+
+def test_more_sources_than_queues(spark):
+    """Sources that share a queue are spread over it evenly, and every token is packed once."""
+    docs = spark.createDataFrame([(i, "w " * 40, "big" if i % 2 else f"s{i % 20}") for i in range(400)], "doc_id long, text string, source string")
+    got = packing.pack(Scratch(spark, "t"), docs, queues=1, length=64, window=1024).collect()
+    check_pieces(got, [(i, [*ids_of("w " * 40), 0]) for i in range(400)], 64)
+    n, last = len(ids_of("w " * 40)) + 1, max(r["sequence_id"] for r in got)
+    for s in range(0, 20, 2):
+        first = sum(r["length"] for r in got if r["doc_id"] % 20 == s and r["sequence_id"] <= last / 2)
+        assert abs(first - 10 * n) <= 2 * n
+    assert sorted({r["doc_id"] for r in got}) == list(range(400))
+
+
 def test_targets_of_packing(spark):
     docs = spark.createDataFrame([(i, "w " * 300, "a" if i % 2 else "b") for i in range(60)], "doc_id long, text string, source string")
     got = packing.pack(Scratch(spark, "t"), docs, targets={"a": 3.0, "b": 1.0}, window=4096).collect()
