@@ -6,43 +6,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, quality, secrets, simhash
-from quarry.llm.common import Scratch, arrow_rows
+from quarry.llm.common import Scratch, arrow_rows, spare
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents' labels, scores at 0.3 or more."""
+    """Documents that the classifier, fitted on these documents' labels, scores at 0.3 or more; their rows as they were.
+
+    Null and empty texts have the score of no words; very long texts count whole. Repeated rows and repeated or null
+    doc_ids are scored row by row. Without labels of both kinds every row has one score. An empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scratch = Scratch(spark, "stage3")
-    model = quality.fit(scratch, docs, labels)
+    model = quality.fit(scratch, docs.select("doc_id", "text"), labels)
+    name = spare(docs.columns, "quality_score")
     with arrow_rows(spark):
-        return scratch.table(quality.score(docs, model, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns), "kept")
+        return scratch.table(quality.score(docs, model, name=name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns), "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the one of smallest doc_id (null ones last; of equal ones any); rows without links stay."""
+    """Of each group of linked rows the one of smallest doc_id (null ones last; of equal ones any); rows without links stay.
+
+    Rows are told apart by a number, written once, as doc_ids may be null or repeated. Texts without words, null and empty
+    ones alike, are copies of each other. Texts of any length count whole. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "stage9")
-    # Rows are told apart by a number, written once: doc_ids may be null or repeated.
-    kept = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    gone = scratch.table(simhash.later_rows(scratch, kept, "_row"), "gone")
-    return kept.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows = scratch.table(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    gone = scratch.table(simhash.later_rows(scratch, rows.select("doc.doc_id", "doc.text", "row"), "row"), "gone")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mask; n_chars follows the text."""
-    out = secrets.redacted(docs.select(*docs.columns), secrets.train(spark))
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, their secrets replaced by a mask; n_chars follows the text.
+
+    Null and empty texts stay as they are, with their n_chars; a null source is no path. Very long texts are scanned whole,
+    repeated rows each. An empty table gives no rows.
+    """
+    out = secrets.redacted(docs, secrets.train(spark))
+    length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*(length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    sized = docs.withColumn("_words", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(Scratch(spark, "stage8"), sized, size="_words")
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mixture takes it, its row as it was.
+
+    A null source is one source, the last; a null or empty text has no words. Repeated rows and ids are rows of their own;
+    of equal ones any may be taken. No document comes more than 3 times. An empty table gives no rows.
+    """
+    sized = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(Scratch(spark, "stage8"), sized, size="words")
+    return mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(Scratch(spark, "stage6"), docs)
+    """The pieces of all documents in sequences of 1024 tokens; their columns are those of packing.PIECES alone.
+
+    Null and empty texts are their end id; repeated rows and null ids are packed each. An empty table gives no rows.
+    """
+    return packing.pack(Scratch(spark, "stage6"), docs.select("doc_id", "text", "source"))
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixture", mix_sources), ("packing", pack_sequences)]

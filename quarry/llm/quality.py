@@ -222,14 +222,15 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, key: str = "doc_id
     seen = scratch.table(seen, "labelled")
     # At most SAMPLE rows of two numbers.
     some = docs.join(F.broadcast(seen), F.col(key) == F.col("_key")).select(F.col("_key").cast("long").alias("id"), F.col("_y").alias("y"), fold("_key").cast("int").alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    some = some.withColumn("h", F.xxhash64("id", "text"))
 
     def features(batches):
         for b in batches:
             x = pooled(b.column(3), vectors).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "fold", "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "fold", "h", "x"])
 
     with arrow_rows(docs.sparkSession):
-        rows = some.mapInArrow(features, "id long, y int, fold int, x binary").limit(2 * SAMPLE).collect()
+        rows = some.mapInArrow(features, "id long, y int, fold int, h long, x binary").orderBy("h", "x").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:
@@ -259,7 +260,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, held_out, score, predicted (score >= 0.3). An empty table gives no rows."""
+    """Every document: doc_id, held_out, score, predicted (score >= 0.3).
+
+    Null and empty texts have the score of no words, null ids are not held out; very long texts count whole. Rows that
+    repeat an id are scored each. Of labelled rows that repeat an id at most 2 * SAMPLE train, those that hash least. An
+    empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = fit(Scratch(spark, "op3"), docs, labels)

@@ -150,7 +150,9 @@ def read_records(index: DataFrame) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload, stored as a response; an empty table gives no rows.
+    Null html is an empty payload, stored as a response; very long payloads are stored whole. Of equal payloads the one of
+    smallest page_id is the response, as are all rows that repeat that id with it. Rows of null page_id are never referred to,
+    and are responses. An empty table gives no rows.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     scratch = Scratch(spark, "op2")

@@ -143,6 +143,67 @@ def test_secrets_of_any_form_after_a_secret_word(spark):
     assert got == [(i, f"one two {x} three") for i, x in enumerate(masked + none)]
 
 
+def test_secrets_of_any_length_and_place(spark):
+    """A digit after a hundred letters, parts joined by dots, and thousands of candidates in one text."""
+    from pyspark.sql import functions as F
+
+    forest = secrets.train(spark)
+    signed = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    many = " and ".join(f'token = "k{i}x{i * 7919:x}abcdefgh{i % 97:02d}zz"' for i in range(3000))
+    docs = spark.createDataFrame([(1, "password = " + "a" * 110 + "b7 tail", "s"), (2, f"Bearer {signed} x", "s"), (3, many, "s")], "doc_id long, text string, source string")
+    got = rows_of(secrets.findings(docs, forest), "doc_id", "start", "length")
+    assert got[:2] == [(1, 11, 112), (2, 7, len(signed))] and sum(g[0] == 3 for g in got) > 2900
+    text = {d: t for d, t, _ in docs.collect()}
+    for d, start, n, digest in rows_of(secrets.findings(docs, forest), "doc_id", "start", "length", "digest"):
+        assert hashlib.sha256(text[d][start : start + n].encode()).hexdigest() == digest
+    # A signed token comes as a whole, and a run of letters whose digit is far away is a candidate.
+    cands = spark.createDataFrame([(f"see {signed} and {'q' * 300}9 x",)], "t string").select(F.regexp_extract_all("t", F.lit(secrets.CANDIDATE), F.lit(0))).first()[0]
+    assert cands == [signed, "q" * 300 + "9"]
+
+
+def test_secrets_candidates_and_features_by_another_scan(spark):
+    """Runs and access keys found, and features counted, in plain Python."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(15)
+    alphabet = "abcXYZ019_-+/. ="
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(60)] + ["AKIA" + "A1B2C3D4" * 2 + " x", ""]
+
+    def scan(t):
+        out, at = [], 0
+        for m in re.finditer(r"[A-Za-z0-9_+/-]+={0,2}", t):
+            body = m.group().rstrip("=")
+            if len(body) >= 12 and any(c.isdigit() for c in body):
+                out.append(m.group())
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for i, found in df.select("i", F.regexp_extract_all("t", F.lit(secrets.CANDIDATE), F.lit(0))).collect():
+        assert found == scan(texts[i]), texts[i]
+    c, before, after = "Ab9-password_Zq77/x", 'my token = "', '" rest'
+    x = spark.range(1).select(F.array(*secrets.features(F.lit(c), F.lit(before), F.lit(after), F.lit("tests/a.py")))).first()[0]
+    n = len(c)
+    pairs = list(zip(c, c[1:]))
+    covered = n - len(re.sub("|".join(sorted(secrets.WORDS.split(), key=len, reverse=True)), "", c.lower()))
+    assert x[0] == n and x[1] == pytest.approx(sum(a.isdigit() and b.isalpha() for a, b in pairs) / n)
+    assert x[2] == pytest.approx(sum(a.isalpha() and b.isdigit() for a, b in pairs) / n)
+    assert x[5] == pytest.approx(sum(ch.isdigit() for ch in c) / n) and x[6] == pytest.approx(sum(ch.isupper() for ch in c) / n)
+    assert x[7] == pytest.approx(sum(ch in "_+/-" for ch in c) / n) and x[8] == pytest.approx(len(set(c)) / n)
+    assert x[13] == pytest.approx(covered / n) and x[14:19] == [1.0, 1.0, 1.0, 1.0, 0.0]
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    from pyspark.sql import functions as F
+
+    forest = secrets.train(spark)
+    rows = spark.createDataFrame(secrets.labelled_findings(1000, seed=99), "candidate string, before string, after string, path string, label int").na.fill("")
+    got = rows.select("label", forest.score(F.array(*secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")))).alias("s")).collect()
+    hit = sum(x["s"] >= secrets.THRESHOLD and x["label"] for x in got)
+    assert hit / sum(x["label"] for x in got) > 0.95 and hit / sum(x["s"] >= secrets.THRESHOLD for x in got) > 0.97
+
+
 def test_forest_in_spark_is_the_forest():
     r = np.random.default_rng(2)
     x = r.random((300, 5))
@@ -185,13 +246,41 @@ def test_own_findings(spark):
         secrets.train(spark, spark.createDataFrame(rows[::2], "candidate string, before string, after string, path string, label int"))
 
 
-def test_targets():
-    t = mixing.targets([("a", 100), ("b", 100), ("c", 100), (None, 100)])
-    assert sum(t) == 400 and t[0] == t[3] and t[0] == 5 * t[2]
-    t = mixing.targets([("a", 10), ("b", 1000), ("c", 1000)])
-    assert t[0] == 30 and t[1] == 2 * t[2] and sum(t) == 2010
-    assert mixing.targets([("a", 0), ("b", 5)]) == [0, 5]
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [Fraction(0)]
+def fair_targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight, stopping and sharing again what is over, one round after another."""
+    total = sum(sizes)
+    out, free = [Fraction(0)] * len(sizes), set(range(len(sizes)))
+    while free:
+        left, w = total - sum(out[i] for i in set(range(len(sizes))) - free), sum(weights[i % 3] for i in free)
+        share = {i: Fraction(left * weights[i % 3], w) for i in free}
+        over = {i for i in free if share[i] > most * sizes[i]}
+        for i in over or free:
+            out[i] = Fraction(most * sizes[i]) if over else share[i]
+        free = free - over if over else set()
+    return out
+
+
+def test_targets(spark):
+    assert fair_targets([10, 1000, 1000])[:2] == [30, 2 * fair_targets([10, 1000, 1000])[2]]
+    r = random.Random(16)
+    for sizes in ([100, 100, 100, 100], [10, 1000, 1000], [0, 5], [0], [], [r.choice([0, 1, 7, 300, 10**6, 10**12]) for _ in range(60)]):
+        df = spark.createDataFrame([(f"s{i:03d}", z) for i, z in enumerate(sizes)], "name string, size long")
+        got = mixing.source_targets(Scratch(spark, "t"), df).orderBy("name").collect()
+        want = fair_targets(sizes)
+        assert [x["target"] for x in got] == pytest.approx([float(t) for t in want], rel=1e-12)
+        for x, z, t in zip(got, sizes, want):
+            assert x["each"] == (min(3 << 20, round(t / z * (1 << 20))) if z else 0) or abs(x["each"] - float(t / z * (1 << 20))) <= 0.5001
+
+
+def test_many_sources(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('host', id div 2) AS source", "id % 50 + 1 AS size")
+    got = mixing.mix(Scratch(spark, "t"), df).collect()
+    sizes = {}
+    for x in got:
+        sizes[x["source"]] = sizes.get(x["source"], 0) + x["size"]
+    names = sorted(sizes)
+    want = dict(zip(names, fair_targets([sizes[n] for n in names])))
+    assert len(got) == 3000 and all(x["target"] == pytest.approx(float(want[x["source"]])) and x["copies"] <= 3 for x in got)
 
 
 def test_op8(spark, tmp_path):
@@ -210,7 +299,7 @@ def test_op8(spark, tmp_path):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + n(t)
     order = [*sorted(s for s in sizes if s is not None), None]
-    want = dict(zip(order, mixing.targets([(s, sizes[s]) for s in order])))
+    want = dict(zip(order, fair_targets([sizes[s] for s in order])))
     taken, largest = {}, {}
     for x in got:
         s = src[x["doc_id"]]
@@ -247,12 +336,16 @@ def test_pipeline(spark, tmp_path):
         labels.append((i, int(not bad)))
     clean = rows[1][1]
     rows += [(500 + i, clean, "a") for i in range(10)] + [(600, words(r, 60) + ' token = "0641917ea4e9feb9cda83477b57ac2654884f485" ' + words(r, 60), "b"), (700, None, "a"), (701, "", "a"), (1, clean, "b")]
-    sf = documents(spark, tmp_path, rows, clash=False)
+    sf = documents(spark, tmp_path, rows)
+    clashing = ("_row", "row", "doc", "_quality", "quality_score", "_gone", "_found", "_cands", "hits", "tail", "source_size", "_words", "words", "_copy", "_key", "_y", "y", "col", "pos")
+    spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *(f"concat('own ', doc_id) AS `{c}`" for c in clashing)).write.mode("overwrite").parquet(f"{sf}/more.parquet")
+    spark.read.parquet(f"{sf}/more.parquet").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for name, stage in c.STAGES[:-1]:
         out = Scratch(spark, "t").table(stage(spark, docs, sf))
         assert out.columns == docs.columns
+        assert out.where(" or ".join([*(f"not (`{c}` <=> concat('own ', doc_id))" for c in clashing), "target <> 'clash'", "copies <> 'clash'", "taken <> 'clash'"])).isEmpty(), name
         kept[name], docs = out.collect(), out
     ids = lambda n: [x["doc_id"] for x in kept[n]]
     good = {i for i in range(300) if i % 5}
@@ -266,6 +359,35 @@ def test_pipeline(spark, tmp_path):
     assert c.run(spark, sf).count() == pieces.count()
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as c
+
+    sf = documents(spark, tmp_path, [])
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    assert c.run(spark, sf).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [stage(spark, docs, sf).count() for _, stage in c.STAGES] == [0] * 5
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, very long texts: nothing is lost but copies, words over a target come up to 3 times."""
+    import corpus_pipeline as c
+
+    rows = [(None, None, None), (None, None, None), (1, None, "a"), (1, "", None), *((10 + i, t, "a" if i % 2 else None) for i, t in enumerate(odd_texts())), (40, words(random.Random(3), 60), None), (40, words(random.Random(4), 60), "b")]
+    sf = documents(spark, tmp_path, rows)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = {}
+    for name, stage in c.STAGES[:3]:
+        docs = Scratch(spark, "t").table(stage(spark, docs, sf))
+        out[name] = rows_of(docs, "doc_id", "text", "source")
+    assert len(out["quality"]) == len(rows)  # no labels: one score for all
+    texts = [t for _, t, _ in out["near_duplicates"]]
+    assert sum(not (t or "").split() for t in texts) == 1 and sum(d == 40 for d, _, _ in out["near_duplicates"]) == 2
+    assert out["secrets"] == out["near_duplicates"]
+    assert {d for d, _, _ in rows_of(c.mix_sources(spark, docs, sf), "doc_id", "text", "source")} <= {d for d, _, _ in rows}
+
+
 def test_near_duplicates_are_dropped_by_row(spark):
     """Repeated and null doc_ids: only rows of one group are copies of each other."""
     import corpus_pipeline as c
@@ -283,7 +405,7 @@ def test_oracles(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         want = con.sql(sql)
