@@ -85,15 +85,47 @@ def square(m: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, a_square: Column | None = None, b_square: Column | None = None) -> Column:
-    """Of two maps of counts; 0 where either is empty. All sums are of integers, so their order does not matter.
-
-    Where no item occurs twice on either side (then the squares add up to the size) shared keys are counted by hashing.
-    """
+    """Of two maps of counts; 0 where either is empty. All sums are of integers, so their order does not matter."""
     na, nb = square(a) if a_square is None else a_square, square(b) if b_square is None else b_square
     zero = F.lit(0).cast("long")
     dot = F.aggregate(F.map_keys(a), zero, lambda s, k: s + F.element_at(a, k) * F.coalesce(F.try_element_at(b, k), zero))
-    dot = F.when((na == F.size(a)) & (nb == F.size(b)), F.size(F.array_intersect(F.map_keys(a), F.map_keys(b))).cast("long")).otherwise(dot)
-    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt(na * nb)), F.lit(0.0))
+    return ratio_of_norms(dot, na, nb)
+
+
+def ratio_of_norms(dot: Column, a_square: Column, b_square: Column) -> Column:
+    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt(a_square * b_square)), F.lit(0.0))
+
+
+def bag(items: Column) -> Column:
+    """An array as what bag_cosine() is quick on: its distinct items, the counts above 1, and the sum of squares of all counts."""
+    s = F.array_sort(items)
+    # Items that repeat stand next to themselves in order.
+    pairs = F.arrays_zip(s.alias("a"), F.slice(s, 2, F.greatest(F.size(items), F.lit(1))).alias("b"))
+    twice = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
+    count = F.transform(twice, lambda k: F.struct(k.alias("k"), F.size(F.filter(items, lambda y: y == k)).cast("long").alias("v")))
+    # Without repeats, as texts mostly are, nothing is sorted or counted.
+    none = F.size(F.array_distinct(items)) == F.size(items)
+    more = F.map_from_entries(F.when(none, F.slice(count, 1, 0)).otherwise(count))
+    size = F.size(F.array_distinct(items)).cast("long")
+    square = F.when(none, size).otherwise(F.aggregate(F.map_values(more), size, lambda t, v: t + v * v - 1))
+    return F.struct(F.array_distinct(items).alias("keys"), more.alias("more"), square.alias("square"))
+
+
+def gram_key(g: Column) -> Column:
+    """Three characters as one number: 21 bits hold any of them."""
+    at = lambda i: F.ascii(F.substring(g, i, F.lit(1))).cast("long")
+    return F.shiftleft(at(F.lit(1)), 42).bitwiseOR(F.shiftleft(at(F.lit(2)), 21)).bitwiseOR(at(F.lit(3)))
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """The same cosine from two bags: shared keys are counted by hashing, and counts above 1 make up the rest."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    count = lambda x, k: F.coalesce(F.try_element_at(x["more"], k), one)
+    own = F.aggregate(F.map_keys(a["more"]), zero, lambda s, k: s + F.when(F.array_contains(b["keys"], k), count(a, k) * count(b, k) - 1).otherwise(zero))
+    its = F.aggregate(F.map_keys(b["more"]), zero, lambda s, k: s + F.when(F.array_contains(a["keys"], k) & F.try_element_at(a["more"], k).isNull(), count(b, k) - 1).otherwise(zero))
+    shared = F.size(F.array_intersect(a["keys"], b["keys"])).cast("long")
+    dot = F.when((F.size(a["more"]) == 0) & (F.size(b["more"]) == 0), shared).otherwise(shared + own + its)
+    return ratio_of_norms(dot, a["square"], b["square"])
 
 
 def attributes(t: Column) -> Column:

@@ -1,9 +1,9 @@
 """Lexical evidence: candidates by shared terms, blended cosines, conflicts, pack families.
 
-Only items that share a term with a line are scored. A score of 0.25 or more needs a shared token or, without one, a
-trigram cosine above 0.55; for that a line and an item must share one of the line's rarer trigrams, those left when its
-commonest trigrams, together below that cosine's square of its length, are set aside. So the join keys are tokens and
-rare trigrams, never the commonest ones.
+Only items that share a term with a line are scored, and not by every term. A line's commonest tokens and trigrams are set
+aside together as long as a pair that shares no others stays below the floor: by the most that each term can add, given
+the largest part that it has in any item's length, or by the parts of the line's own lengths that are set aside (a cosine is
+at most the root of that part), whichever is less. So the join keys are the rarer terms.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.scratch import Scratch
+from ..plans.scratch import Scratch, partitions, spread
 from .catalogue import completed, eligible
 from .identifiers import identifier_index
 
 FLOOR, TOP, CLOSE = 0.25, 3, 0.05
 TOKEN_WEIGHT, GRAM_WEIGHT, IDENTIFIED = 0.55, 0.45, 0.99
-#: A pair without a shared token reaches the floor only at this trigram cosine.
-GRAM_FLOOR = FLOOR / GRAM_WEIGHT
+#: What bounds may be off by: sums in doubles, and scores that round up to the floor.
+SLACK = 1e-7
 
 
 def _none():
@@ -27,14 +27,18 @@ def _none():
 
 
 def prepared_items(catalogue: DataFrame) -> DataFrame:
-    """Eligible items: name, token and trigram counts, attributes, brand, and the family of their packs."""
+    """Eligible items: name, bags of tokens and trigrams, attributes, brand, and the family of their packs."""
     cat = completed(catalogue).where(eligible())
     name = X.normalise(F.col("item_name"))
     packs = F.from_json(F.when(F.col("uom_conversions") == "", "[]").otherwise(F.col("uom_conversions")), "array<struct<uom:string,conversion_factor:double>>")
     signature = F.to_json(F.array_sort(F.transform(packs, lambda p: F.struct(X.casefold(p["uom"]).alias("u"), p["conversion_factor"].alias("f")))))
     items = cat.select("tenant", F.col("item_code").alias("code"), name.alias("name"), X.normalise(F.col("brand")).alias("brand"), X.casefold(F.col("stock_uom")).alias("uom"), signature.alias("packs"))
     bulk = F.array_contains(X.words(F.col("name")), "bulk")
-    return items.select("*", X.attributes(F.col("name")).alias("offered"), X.counts(X.words(F.col("name"))).alias("words"), X.counts(X.trigrams(F.col("name"))).alias("grams"), bulk.alias("bulk"), F.trim(F.regexp_replace("name", r"\bbulk\b", "")).alias("stem"))
+    return items.select("*", X.attributes(F.col("name")).alias("offered"), *_bags("name"), bulk.alias("bulk"), F.trim(F.regexp_replace("name", r"\bbulk\b", "")).alias("stem"))
+
+
+def _bags(text: str) -> list:
+    return [X.bag(X.words(F.col(text))).alias("words"), X.bag(F.transform(X.trigrams(F.col(text)), X.gram_key)).alias("grams")]
 
 
 def pack_families(items: DataFrame) -> DataFrame:
@@ -46,15 +50,15 @@ def pack_families(items: DataFrame) -> DataFrame:
 def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Lines with the normalised text and its counts, attributes of the text without known identifiers, and brands in it."""
     cat = completed(catalogue)
-    # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone,
-    # and begins and ends with a word character, is one of them.
-    index = identifier_index(cat).select("tenant", "value").distinct()
+    # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone is
+    # one of them, but for marks before and after it. One that is found so and is not there itself is removed from nothing.
+    index = identifier_index(cat).select("tenant", "value", F.regexp_extract("value", r"(?Us)\w(?:.*\w)?", 0).alias("run")).distinct().where("run <> ''")
     longest = index.agg(F.coalesce(F.max(F.regexp_count("value", F.lit(r"(?U)\w+"))), F.lit(1))).first()[0]
     seg = F.regexp_extract_all("raw_text", F.lit(r"(?U)\w+|\W+"), F.lit(0))
     first = F.when(F.get(seg, F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1)
     run = lambda i, k: F.when((F.pmod(i - first, F.lit(2)) == 0) & (i + 2 * k < F.size(seg)), F.array_join(F.slice(seg, i + 1, 2 * k + 1), ""))
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max(0, longest - 1))), lambda k: F.array_compact(F.transform(seg, lambda _, i: run(i, k)))))
-    found = lines.select("line_id", "tenant", F.explode(F.array_distinct(spans)).alias("value")).join(index, ["tenant", "value"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
+    found = lines.select("line_id", "tenant", F.explode(F.array_distinct(spans)).alias("run")).join(index, ["tenant", "run"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
     brands = cat.where("brand <> ''").select("tenant", X.normalise(F.col("brand")).alias("b")).where("b <> ''").distinct()
     most = brands.agg(F.coalesce(F.max(F.size(F.split("b", " "))), F.lit(1))).first()[0]
     q = X.normalise(F.col("raw_text"))
@@ -64,21 +68,31 @@ def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     mentioned = base.select("line_id", "tenant", F.explode(phrases).alias("b")).join(brands, ["tenant", "b"]).groupBy("line_id").agg(F.collect_set("b").alias("mentioned"))
     bare = X.normalise(X.without_words(F.col("raw_text"), F.coalesce("known", _none())))
     out = base.join(found, "line_id", "left").join(mentioned, "line_id", "left").withColumn("bare", bare)
-    return out.select("line_id", "tenant", "query", X.counts(X.words(F.col("query"))).alias("qwords"), X.counts(X.trigrams(F.col("query"))).alias("qgrams"), X.attributes(F.col("bare")).alias("requested"), F.coalesce("mentioned", _none()).alias("mentioned"))
+    return out.select("line_id", "tenant", "query", *_bags("query"), X.attributes(F.col("bare")).alias("requested"), F.coalesce("mentioned", _none()).alias("mentioned"))
+
+
+def _terms(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each term: keys, term (a token, or a trigram's number), its kind's weight, and its part of the length."""
+
+    def kind(name: str, weight: float) -> DataFrame:
+        bag = F.col(name)
+        part = lambda k: F.coalesce(F.try_element_at(bag["more"], k), F.lit(1).cast("long")) / F.sqrt(bag["square"])
+        each = F.transform(bag["keys"], lambda k: F.struct(F.concat(F.lit(name[0]), k.cast("string")).alias("term"), part(k).alias("part")))
+        return rows.select(*keys, F.explode(each).alias("t")).select(*keys, "t.*", F.lit(weight).alias("weight"))
+
+    return kind("words", TOKEN_WEIGHT).unionByName(kind("grams", GRAM_WEIGHT))
 
 
 def candidate_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(line_id, tenant, code) of all pairs that can reach the floor, and of others."""
-    term = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
-    of_items = items.select("tenant", "code", F.explode(F.concat(term("w", F.map_keys("words")), term("g", F.map_keys("grams")))).alias("term"))
-    common = of_items.where("term like 'g%'").groupBy("tenant", "term").agg(F.count("*").alias("df"))
-    grams = queries.select("line_id", "tenant", F.explode("qgrams").alias("g", "n")).withColumn("term", F.concat(F.lit("g"), "g")).join(common, ["tenant", "term"])
-    # Commonest first: those before the running square reaches the bound may be set aside. Trigrams in no item add to the length only.
-    norm = queries.select("line_id", F.aggregate(F.map_values("qgrams"), F.lit(0).cast("long"), lambda s, v: s + v * v).alias("norm"))
-    upto = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("line_id").orderBy(F.desc("df"), "term"))
-    rare = grams.withColumn("upto", upto).join(norm, "line_id").where(F.col("upto") >= GRAM_FLOOR * GRAM_FLOOR * F.col("norm") * (1 - 1e-9)).select("line_id", "tenant", "term")
-    tokens = queries.select("line_id", "tenant", F.explode(term("w", F.map_keys("qwords"))).alias("term"))
-    return tokens.unionByName(rare).join(of_items, ["tenant", "term"]).select("line_id", "tenant", "code").distinct()
+    of_items = _terms(items, "tenant", "code")
+    known = of_items.groupBy("tenant", "term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
+    asked = _terms(queries, "line_id", "tenant").join(known, ["tenant", "term"])
+    commonest = Window.partitionBy("line_id").orderBy(F.desc("df"), "term")
+    share = lambda w: F.sqrt(F.sum(F.when(F.col("weight") == w, F.col("part") * F.col("part")).otherwise(0.0)).over(commonest)) * w
+    bound = F.least(F.sum(F.col("weight") * F.col("part") * F.col("most")).over(commonest), share(TOKEN_WEIGHT) + share(GRAM_WEIGHT))
+    rare = asked.withColumn("bound", bound).where(F.col("bound") >= FLOOR - SLACK).select("line_id", "tenant", "term")
+    return rare.join(of_items.select("tenant", "term", "code"), ["tenant", "term"]).select("line_id", "tenant", "code").distinct()
 
 
 def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -87,17 +101,17 @@ def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, queries: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Pairs with score and conflicts."""
-    squares = lambda *names: {f"{n}_square": X.square(F.col(n)) for n in names}
-    queries, items = queries.withColumns(squares("qwords", "qgrams")), items.withColumns(squares("words", "grams"))
-    j = pairs.join(queries, ["line_id", "tenant"]).join(items, ["tenant", "code"]).join(evidence.select("line_id", "codes"), "line_id")
+    """Pairs with score and conflicts; of pack siblings also the query and the family."""
+    q = queries.withColumnsRenamed({"words": "qwords", "grams": "qgrams"})
+    j = pairs.join(q, ["line_id", "tenant"]).join(items, ["tenant", "code"]).join(evidence.select("line_id", "codes"), "line_id")
     identified = F.array_contains("codes", F.col("code"))
-    cosine = lambda k: X.cosine(F.col(f"q{k}"), F.col(k), F.col(f"q{k}_square"), F.col(f"{k}_square"))
-    blend = TOKEN_WEIGHT * cosine("words") + GRAM_WEIGHT * cosine("grams")
+    blend = TOKEN_WEIGHT * X.bag_cosine(F.col("qwords"), F.col("words")) + GRAM_WEIGHT * X.bag_cosine(F.col("qgrams"), F.col("grams"))
     brand = F.when((F.size("mentioned") > 0) & ~F.array_contains("mentioned", F.col("brand")), F.array(F.lit("brand"))).otherwise(_none())
     bad = F.array_sort(F.concat(X.conflicts(F.col("requested"), F.col("offered")), brand))
     score = F.round(F.when(identified, F.greatest(blend, F.lit(IDENTIFIED))).otherwise(blend), 8)
-    return j.select("line_id", "tenant", "code", "name", "query", "brand", "stem", "uom", score.alias("score"), bad.alias("conflicts"), identified.alias("identified"))
+    family = F.when(F.col("packed"), F.struct("tenant", "brand", "stem", "uom"))
+    exact = F.col("name") == F.col("query")
+    return j.select("line_id", "code", score.alias("score"), bad.alias("conflicts"), identified.alias("identified"), exact.alias("exact"), F.when(F.col("packed"), F.col("query")).alias("query"), family.alias("family"))
 
 
 def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence: DataFrame, exhaustive: bool = False) -> DataFrame:
@@ -105,33 +119,36 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
 
     Prepared items, queries and scored pairs are written once, as several later steps read each.
     """
-    items = scratch.table(prepared_items(catalogue), "items")
+    by = ["tenant", "brand", "stem", "uom"]
+    prepared = scratch.table(prepared_items(spread(catalogue)), "prepared")
+    items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), by, "left")
+    items = scratch.table(items.withColumn("packed", F.coalesce("packed", F.lit(False))), "items")
     tenants = catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True))
-    q = query_features(lines, catalogue).join(tenants, "tenant", "left")
+    q = query_features(spread(lines), catalogue).join(tenants, "tenant", "left")
     early = F.when(F.col("tenant_known").isNull(), "unknown_tenant").when(F.col("query") == "", "empty_text").when(F.col("query").isin(*X.NON_ITEMS), "not_an_item")
     q = scratch.table(q.withColumn("early", early), "queries")
     live = q.where("early is null").drop("early", "tenant_known")
-    families = scratch.table(pack_families(items), "families")
     if exhaustive:
         pairs = all_pairs(live, items)
     else:
         pairs = candidate_pairs(live, items).unionByName(live.select("line_id", "tenant").join(evidence.select("line_id", F.explode("codes").alias("code")), "line_id").select("line_id", "tenant", "code"))
         # Pack siblings count whether or not they score, so they come along.
-        in_family = items.join(families, ["tenant", "brand", "stem", "uom"]).select("tenant", "code", F.struct("brand", "stem", "uom").alias("family"))
+        in_family = items.where("packed").select("tenant", "code", F.struct("brand", "stem", "uom").alias("family"))
         sibling = in_family.select("tenant", F.col("code").alias("other"), "family")
         pairs = scratch.table(pairs.distinct(), "pairs")
         pairs = pairs.unionByName(pairs.join(in_family, ["tenant", "code"]).join(sibling, ["tenant", "family"]).select("line_id", "tenant", F.col("other").alias("code"))).distinct()
+    # Pairs are short rows and long work: dealt out by number, as sizes would put many into one task.
+    pairs = pairs.repartition(partitions(lines.sparkSession), "line_id", "code")
     s = scratch.table(scored(pairs, live, items, evidence), "scored")
     text_conflict = s.where(F.col("identified") & (F.size("conflicts") > 0)).select("line_id").distinct().withColumn("text_conflict", F.lit(True))
-    by = ["tenant", "brand", "stem", "uom"]
-    fit = s.where(F.size("conflicts") == 0).join(families.withColumn("packed", F.lit(True)), by, "left").join(evidence.select("line_id", "codes", F.col("issues").alias("eissues")), "line_id")
+    fit = s.where(F.size("conflicts") == 0).join(evidence.select("line_id", "codes", F.col("issues").alias("eissues")), "line_id")
     # Within each line and pack family: which siblings the words and a clean identifier leave.
     asked = F.array_intersect(F.split("query", " "), F.array(F.lit("bulk"), F.lit("standard")))
     clean = (F.size("codes") == 1) & (F.size("eissues") == 0)
     sole = F.get("codes", F.lit(0))
     # A clean identifier narrows only its own family; its item need not be among the compatible.
-    sib = items.join(families, by).select(*by, "code", F.col("bulk").alias("sbulk"))
-    fams = fit.where("packed").groupBy("line_id", *by).agg(F.first(asked).alias("asked"), F.first(clean).alias("clean"), F.first(sole).alias("sole"), F.max("score").alias("best"))
+    sib = items.where("packed").select(*by, "code", F.col("bulk").alias("sbulk"))
+    fams = fit.where("family is not null").select("*", "family.*").groupBy("line_id", *by).agg(F.first(asked).alias("asked"), F.first(clean).alias("clean"), F.first(sole).alias("sole"), F.max("score").alias("best"))
     choice = (F.when(F.size("asked") == 1, F.col("sbulk") == (F.get("asked", F.lit(0)) == "bulk")).otherwise(F.lit(True)))
     each = fams.join(sib, by).withColumn("chosen", choice)
     w = Window.partitionBy("line_id", *by)
@@ -143,13 +160,12 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
     left = fit.join(out_of, ["line_id", "code"], "left_anti")
     order = Window.partitionBy("line_id").orderBy(F.desc("score"), "code")
     ranked = left.withColumn("rank", F.row_number().over(order))
-    family = F.when(F.col("packed"), F.struct("brand", "stem", "uom"))
-    lead = F.first(F.when((F.col("rank") == 1) & (F.col("score") >= FLOOR), family), ignorenulls=True).over(Window.partitionBy("line_id"))
-    ranked = ranked.withColumn("kin", F.coalesce(family == lead, F.lit(False)))
+    lead = F.first(F.when((F.col("rank") == 1) & (F.col("score") >= FLOOR), F.col("family")), ignorenulls=True).over(Window.partitionBy("line_id"))
+    ranked = ranked.withColumn("kin", F.coalesce(F.col("family") == lead, F.lit(False)))
     head = (F.col("rank") <= TOP) & (F.col("score") >= FLOOR)
     per = ranked.groupBy("line_id").agg(
         F.array_sort(F.collect_list(F.when(head, F.struct("rank", "code", "score")))).alias("top"),
-        F.count_if(F.col("name") == F.col("query")).alias("exact"),
+        F.count_if("exact").alias("exact"),
         F.count_if("kin").alias("kin"),
         F.max(F.when(F.col("rank") == 1, F.col("code"))).alias("best"),
     )
