@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 
 
 def iso_date(c: Column) -> Column:
-    """A date of yyyy-MM-dd or yyyyMMdd; null of anything else."""
+    """A date of yyyy-MM-dd, yyyyMMdd, or a week date yyyy-Www-d (dashes or none; day 1 where it is left out); null of anything else."""
     dashed = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
-    return F.coalesce(dashed, F.when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd")))
+    plain = F.when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd"))
+    return F.coalesce(dashed, plain, _week_date(c))
+
+
+def _week_date(c: Column) -> Column:
+    dashed, plain = r"^(\d{4})-W(\d{2})(?:-([1-7]))?$", r"^(\d{4})W(\d{2})([1-7])?$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, dashed, i), F.lit("")), F.nullif(F.regexp_extract(c, plain, i), F.lit(""))).try_cast("int")
+    year, week, day = part(1), part(2), F.coalesce(part(3), F.lit(1))
+    # The week of 4 January is the first; a year has 53 where 28 December is in one.
+    first = F.try_to_date(F.format_string("%04d-01-04", year), "yyyy-MM-dd")
+    last = F.weekofyear(F.try_to_date(F.format_string("%04d-12-28", year), "yyyy-MM-dd"))
+    monday = F.date_sub(first, F.weekday(first))
+    return F.when((year > 0) & week.between(1, last), F.date_add(monday, (week - 1) * 7 + day - 1))
 
 
 def previous_day(c: Column) -> Column:

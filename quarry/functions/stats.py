@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def number(c: Column) -> Column:
+    """The double that a text spells, with white space about it or not; null of anything else, type letters as in 1d included."""
+    plain = F.trim(c).rlike(r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?|nan)$")
+    return F.when(plain, F.trim(c).try_cast("double"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a.cast("double"), b)
@@ -33,6 +39,6 @@ def clamp(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
-def exact_sum(c: Column, places: int = 6) -> Column:
-    """A sum that does not hang on the order of rows."""
-    return F.sum(c.cast(f"decimal(28,{places})"))
+def steady_avg(c: Column, places: int = 12) -> Column:
+    """An average that does not hang on the order of rows: values count to so many places, up to 10**16."""
+    return ratio(F.sum(c.cast(f"decimal({16 + places},{places})")), F.count(c))

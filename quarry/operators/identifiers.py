@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_date
+from ..functions.stats import number
 from ..functions.text import IDENTIFIER_TOKEN, NUMBER, without_words
 from ..plans.scratch import Scratch
 from .catalogue import completed, eligible
@@ -31,7 +32,7 @@ def alias_evidence(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     asked = lines.where("buyer_sku <> ''").select("line_id", "tenant", "customer_id", F.col("buyer_sku").alias("customer_sku"), iso_date(F.col("order_date")).alias("day"))
     start = F.when(F.col("valid_from") == "", F.lit("0001-01-01").cast("date")).otherwise(iso_date(F.col("valid_from")))
     end = F.when(F.col("valid_to") == "", F.lit("9999-12-31").cast("date")).otherwise(iso_date(F.col("valid_to")))
-    known = aliases.select("tenant", "customer_id", "customer_sku", F.col("item_code").alias("target"), start.alias("start"), end.alias("end"), ((F.col("source") != "confirmed_order") | (F.coalesce(F.expr("try_cast(confidence as double)"), F.lit(-1.0)) != 1)).alias("weak"))
+    known = aliases.select("tenant", "customer_id", "customer_sku", F.col("item_code").alias("target"), start.alias("start"), end.alias("end"), ((F.col("source") != "confirmed_order") | (F.coalesce(number(F.col("confidence")), F.lit(-1.0)) != 1)).alias("weak"))
     j = asked.join(known, ["tenant", "customer_id", "customer_sku"], "left")
     valid = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end"))
     j = j.withColumn("found", F.col("target").isNotNull()).withColumn("bad", F.col("found") & ~F.coalesce(valid, F.lit(False))).withColumn("active", F.coalesce(F.col("found") & valid & F.col("day").between(F.col("start"), F.col("end")), F.lit(False)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import previous_day
-from ..functions.stats import nearest_rank
+from ..functions.stats import nearest_rank, steady_avg
 
 LINE_KEYS, EVENT_KEYS = ("tenant_id", "channel", "day"), ("tenant_id", "day")
 
@@ -39,7 +39,7 @@ accepted = lambda c: F.when(F.col("accepted") == 1, c)
 METRICS = (
     Metric("lines_accepted", "accepted_lines", lambda: F.count_distinct("line_id"), 0),
     Metric("candidates_considered", "order_events", lambda: F.sum("n"), 0),
-    Metric("avg_accept_score", "events", lambda: F.avg(accepted(F.col("score")))),
+    Metric("avg_accept_score", "events", lambda: steady_avg(accepted(F.col("score")))),
     Metric("max_latency_ms", "events", lambda: F.max("latency_ms")),
     Metric("avg_latency_ms", "events", lambda: F.avg("latency_ms")),
     Metric("distinct_customers", "orders", lambda: F.count_distinct("customer_id"), 0),
