@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import second_before
 from ..functions.payload import canonical
 from ..operators import sync
-from ..plans.scratch import exists, remove
+from ..plans.scratch import Scratch, exists, partitions, remove
 
 
 class PullCapacityError(RuntimeError):
@@ -117,41 +117,80 @@ def pull(feed: Callable[[str | None, int], DataFrame], store: Store, page_size:
     return applied
 
 
+OUTCOME = "op string, result string, version long, updated_at string, remote string"
+
+
+def send(client, op: dict, max_attempts: int) -> tuple:
+    """One operation's outcome. An answer that shows our payload at base + 1 is ours, whoever says so."""
+    result, answer = None, None
+    for _ in range(max_attempts):
+        try:
+            answer = client.write(op["id"], json.loads(op["payload"]), op["base"], op["key"])
+            result = "done"
+            break
+        except Exception as e:
+            # By name: the library goes to executors by value, so that its classes are copies there.
+            kinds = {c.__name__ for c in type(e).__mro__}
+            if "WriteTimeout" in kinds:
+                result = "uncertain"
+            elif "WriteConflict" in kinds:
+                answer = client.get(op["id"])
+                ours = answer and answer[0] == op["base"] + 1 and canonical(answer[1]) == op["payload"]
+                result = "done" if ours else "conflict"
+                break
+            else:
+                raise
+    return op["op"], result, answer[0] if answer else None, answer[2] if answer else None, canonical(answer[1]) if answer else None
+
+
 def push(client, store: Store, max_attempts: int = 3, crash_hook: Callable[[str], None] = _none) -> int:
-    """Sends what is due; returns how many were acknowledged. client.write(id, payload, base, key) returns (version,
-    payload, updated_at) or raises WriteTimeout or WriteConflict; client.get(id) returns the same or None.
+    """Sends what is due, one by one from the driver; returns how many were acknowledged. client.write(id, payload, base, key)
+    returns (version, payload, updated_at) or raises WriteTimeout or WriteConflict; client.get(id) returns the same or None.
 
-    Operations are committed before the first is sent and keep their key, so a repeated one is recognised. An answer
-    that shows our payload at base + 1 is ours, whoever says so. Each outcome is committed as it comes.
+    Operations are committed before the first is sent and keep their key, so a repeated one is recognised. Each outcome is
+    committed as it comes: for few operations. push_all() is for many.
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be positive")
     store.commit(sync.stage(store.state(), store.tenant), store.meta())
     crash_hook("after_outbox_commit")
     pushed = 0
-    outcome = "op string, result string, version long, updated_at string, remote string"
     for op in [r.asDict() for r in sync.due(store.state()).toLocalIterator()]:
-        result, answer = None, None
-        for _ in range(max_attempts):
-            try:
-                answer = client.write(op["id"], json.loads(op["payload"]), op["base"], op["key"])
-                result = "done"
-                break
-            except WriteTimeout:
-                result = "uncertain"
-            except WriteConflict:
-                answer = client.get(op["id"])
-                ours = answer and answer[0] == op["base"] + 1 and canonical(answer[1]) == op["payload"]
-                result = "done" if ours else "conflict"
-                break
-        if result == "done":
+        row = send(client, op, max_attempts)
+        if row[1] == "done":
             crash_hook("after_remote_commit")
             pushed += 1
-        row = (op["op"], result, answer[0] if answer else None, answer[2] if answer else None, canonical(answer[1]) if answer else None)
-        store.commit(sync.settle(store.state(), store.spark.createDataFrame([row], outcome)), store.meta())
+        store.commit(sync.settle(store.state(), store.spark.createDataFrame([row], OUTCOME)), store.meta())
     return pushed
 
 
+def push_all(make_client: Callable[[], object], store: Store, max_attempts: int = 3, tasks: int | None = None) -> int:
+    """push() of any number of operations: executors send them, each task with a client of its own, and all outcomes are
+    committed at once. A task or a whole push that runs again sends the same keys, which the server knows."""
+    if max_attempts < 1:
+        raise ValueError("max_attempts must be positive")
+    store.commit(sync.stage(store.state(), store.tenant), store.meta())
+    spark = store.spark
+
+    def run(batches):
+        import pyarrow as pa
+
+        client = None
+        for b in batches:
+            rows = []
+            for op in b.to_pylist():
+                client = client or make_client()
+                rows.append(send(client, op, max_attempts))
+            if rows:
+                types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in OUTCOME.split(", ")])
+
+    due = sync.due(store.state()).select("op", "id", "payload", "base", "key").repartition(tasks or partitions(spark), "id")
+    outcomes = Scratch(spark, "push").table(due.mapInArrow(run, OUTCOME), "outcomes")
+    store.commit(sync.settle(store.state(), outcomes), store.meta())
+    return outcomes.where("result = 'done'").count()
+
+
 def apply_stream(changes: DataFrame, store: Store, checkpoint: str):
     """Starts a query that applies each micro-batch of a stream of changes once, whatever restarts."""
 
@@ -163,8 +202,3 @@ def apply_stream(changes: DataFrame, store: Store, checkpoint: str):
         store.commit(sync.apply_page(store.state(), batch), meta | {"batch": number, "cursor": max(newest, meta["cursor"] or "")})
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def first_versions(changes: DataFrame, delay: str = "1 day", at: str = "at") -> DataFrame:
-    """A stream without changes seen before: one row for each (external_id, version) within the watermark."""
-    return changes.withWatermark(at, delay).dropDuplicatesWithinWatermark(["external_id", "version"])

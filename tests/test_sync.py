@@ -120,6 +120,77 @@ def test_push_writes_once(spark, tmp_path, server):
     assert st.state()["conflicts"].first()["reason"] == "compare_and_swap_conflict" and server.get("E3")[1] == {"price": 100}
 
 
+class FolderServer:
+    """Records and keys as files, so that every process meets the same; file names are made once or not at all."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def get(self, key):
+        try:
+            with open(f"{self.folder}/{key}.json") as f:
+                return tuple(json.load(f))
+        except FileNotFoundError:
+            return None
+
+    def write(self, key, payload, base, idempotency_key):
+        import os
+
+        kept = f"{self.folder}/key-{idempotency_key}"
+        if os.path.exists(kept):
+            return self.get(key)
+        if (self.get(key) or (0,))[0] != base:
+            raise S.WriteConflict(key)
+        with open(f"{self.folder}/{key}.json", "w") as f:
+            json.dump([base + 1, payload, "2026-08-01 00:00:00"], f)
+        with open(f"{self.folder}/log", "a") as f:
+            f.write(f"{key}\n")
+        open(kept, "x").close()
+        if payload.get("silent"):
+            raise S.WriteTimeout(key)
+        return self.get(key)
+
+
+def test_push_of_many_from_executors(spark, tmp_path):
+    from functools import partial
+
+    folder = tmp_path / "server"
+    folder.mkdir()
+    st = opened(spark, tmp_path)
+    edits = [(f"N{i}", canonical({"price": i} | ({"silent": 1} if i == 3 else {}))) for i in range(40)]
+    st.commit(S.sync.edit(st.state(), spark.createDataFrame(edits, "id string, payload string")), st.meta())
+    (folder / "N7.json").write_text(json.dumps([4, {"price": 1}, "2026-08-01 00:00:00"]))
+    make = partial(FolderServer, str(folder))
+    assert S.push_all(make, st, max_attempts=1, tasks=4) == 38
+    states = {r["id"]: r["state"] for r in st.state()["outbox"].collect()}
+    assert states["N3"] == "uncertain" and states["N7"] == "conflict" and sorted(states.values()).count("done") == 38
+    assert S.push_all(make, st, tasks=4) == 1  # the silent one is known by its key
+    assert sorted((folder / "log").read_text().split()) == sorted({f"N{i}" for i in range(40)} - {"N7"})
+    assert not st.record("N3")["dirty"] and st.record("N5")["version"] == 1
+    with pytest.raises(ValueError):
+        S.push_all(make, st, max_attempts=0)
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from quarry.plans import scratch
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class getConf:
+                get = staticmethod(lambda name: None)
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    monkeypatch.setattr(scratch, "_own_dir", ["file:///own"])
+    assert scratch.shared_dir(Cluster) == "file:///own"
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "feed"
     src.mkdir()
