@@ -16,10 +16,6 @@ ALIAS_COLUMNS = ("tenant", "customer_id", "customer_sku", "item_code", "valid_fr
 PREDICTION_COLUMNS = ("line_id", "item_code", "confidence", "decision", "reason_code", "candidates")
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def read_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """Every column a string, blank for blank, as leading zeros and blanks carry meaning. A byte-order mark is dropped.
 
@@ -29,8 +25,10 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFra
     if not head:
         raise ValueError(f"no header in {path}")
     names = next(csv.reader([head[0][0].lstrip("\ufeff")]))
-    if len(set(names)) != len(names) or not set(required) <= set(names):
-        raise ValueError(f"invalid or missing columns in {path}")
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"{path} repeats columns: {', '.join(twice)}")
+    if lacking := sorted(set(required).difference(names)):
+        raise ValueError(f"{path} lacks columns: {', '.join(lacking)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="").csv(path)
     return df.na.fill("")
@@ -78,6 +76,21 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
     return j.select("enabled_buckets", F.explode("buckets").alias("bucket", "b")).select("bucket", F.array_contains("enabled_buckets", F.col("bucket")).alias("enabled"), "b.probability", "b.n", "b.correct")
 
 
+def write_policy(fitted: DataFrame, path: str) -> None:
+    """What fit_buckets() gives as one JSON document that read_policy() reads: a row for each kind of evidence, a handful."""
+    entry = F.struct("bucket", F.struct("n", "correct", "probability", "observed_precision", "wilson_low", "wilson_high"))
+    policy = fitted.agg(F.array_sort(F.collect_list(F.when(F.col("enabled"), F.col("bucket")))).alias("enabled_buckets"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("buckets"))
+    policy.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """(line_id, partition, group) as a split has been written. A line must be in one partition."""
+    rows = spark.read.schema("line_id string, partition string, `group` string").json(path)
+    if not rows.groupBy("line_id").count().where("count > 1 or line_id is null").isEmpty() or not rows.where("partition is null or partition not in ('development', 'validation')").isEmpty():
+        raise ValueError(f"no split in {path}")
+    return rows
+
+
 def read_golden(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON file, gzipped or not."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from quarry.__main__ import main
 from quarry.operators.report import match_health
 from quarry.plans import jobs
@@ -33,6 +36,56 @@ def test_predict_and_evaluate(spark, tmp_path):
     assert jobs.fit(rows).count() >= 1
 
 
+def test_fit_then_predict_then_gates(spark, tmp_path):
+    """Each command reads what the one before has written."""
+    from quarry.sources.files import read_policy, read_split
+
+    d = data(tmp_path)
+    main(["split", "--train", f"{d}/train.csv", "--out", f"{d}/split"])
+    assert read_split(spark, f"{d}/split").count() == 22
+    main(["fit", "--data", d, "--train", f"{d}/train.csv", "--out", f"{d}/fitted", "--split", f"{d}/split"])
+    policy = {r["bucket"]: r for r in read_policy(spark, f"{d}/fitted").collect()}
+    assert policy["no_candidate"]["probability"] == 0 and not policy["no_candidate"]["enabled"] and policy["identifier"]["n"] == policy["identifier"]["correct"] > 0
+    main(["predict", "--data", d, "--lines", f"{d}/train.csv", "--policy", f"{d}/fitted", "--out", f"{d}/out"])
+    assert spark.read.option("header", True).csv(f"{d}/out/predictions").count() == 22
+    main(["evaluate", "--data", d, "--train", f"{d}/train.csv", "--policy", f"{d}/fitted", "--out", f"{d}/eval", "--split", f"{d}/split"])
+    assert spark.read.json(f"{d}/eval/all/summary").where("scope = 'overall'").first()["lines"] == 22
+    main(["audit", "--data", d, "--out", f"{d}/audit"])
+    gates = lambda: {r["gate"]: r for r in jobs.released(spark, d, f"{d}/train.csv", f"{d}/fitted", f"{d}/audit/files", f"{d}/split", 1).collect()}
+    got = gates()
+    assert len(got) == 10 and all(r["value"] is not None for n, r in got.items() if n.split()[0] in ("ece", "brier", "warm_p95_ms", "stale_files"))
+    assert got["stale_files ="]["passed"]
+    (tmp_path / "customer_sku_map.csv").write_text((tmp_path / "customer_sku_map.csv").read_text() + "acme,C2,S2,I2,,,confirmed_order,1\n")
+    assert gates()["stale_files ="]["value"] == 1
+    with pytest.raises(SystemExit):  # not 114 lines
+        main(["gates", "--data", d, "--train", f"{d}/train.csv", "--policy", f"{d}/fitted", "--manifest", f"{d}/audit/files", "--out", f"{d}/gates", "--split", f"{d}/split", "--repeat", "1"])
+    (tmp_path / "other.json").write_text('{"line_id": "L00", "partition": "validation", "group": "x"}\n')
+    with pytest.raises(ValueError):
+        jobs.evaluated(spark, d, f"{d}/train.csv", split_path=f"{d}/other.json")
+
+
+def test_check_command(spark, tmp_path, capsys):
+    d = f"file://{tmp_path}"
+    main(["ledger", "--out", f"{d}/ledger", "--lines", "300"])
+    of = ["--data", f"{d}/ledger", "--first", "2026-04-28", "--last", "2026-05-31"]
+    main(["baseline", *of, "--out", f"{d}/golden"])
+    main(["check", *of, "--golden", f"{d}/golden", "--budget", "60", "--repeat", "1", "--strict"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["passed"]
+    golden = spark.read.parquet(f"{d}/golden")
+    golden.withColumn("position", -F.col("position")).write.parquet(f"{d}/backwards")
+    golden.withColumn("avg_latency_ms", F.col("avg_latency_ms") + 1e-9).write.parquet(f"{d}/near")
+    for other, differing, out_of_order in (("backwards", False, True), ("near", True, False)):
+        with pytest.raises(SystemExit):
+            main(["check", *of, "--golden", f"{d}/{other}", "--budget", "60", "--repeat", "1", "--strict"])
+        got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        assert (got["differing_rows"] > 0, got["rows_out_of_order"] > 0) == (differing, out_of_order)
+    main(["check", *of, "--golden", f"{d}/near", "--budget", "60", "--repeat", "1"])  # to six places they are equal
+    main(["explain", *of])
+    assert "Physical Plan" in capsys.readouterr().out
+    t = [spark.read.parquet(f"{d}/ledger/{n}") for n in ("tenants", "order_lines", "events", "items")]
+    assert list(jobs.by_channel(spark, t, "2026-05-01", "2026-05-02", 60)) == [1, 2, 3, 4]
+
+
 def test_commands(spark, tmp_path):
     d = data(tmp_path)
     main(["split", "--train", f"{d}/train.csv", "--out", f"{d}/split"])
