@@ -34,6 +34,12 @@ FROM part""",
   '' AS channel, '' AS qty, CASE WHEN p_partkey % 5 = 0 THEN 'carton' ELSE '' END AS uom_text, '' AS unit_price,
   CASE WHEN p_partkey % 6 = 0 THEN 'S' || CAST(p_partkey % 40 AS STRING) ELSE '' END AS buyer_sku,
   CASE WHEN p_partkey % 8 = 6 AND p_partkey % 3 = 0 THEN {_BARCODE} WHEN p_partkey % 70 = 9 THEN '0000' ELSE '' END AS raw_barcode, '' AS notes
+FROM part""",
+    "texts": f"""SELECT 'X' || lpad(CAST(p_partkey AS STRING), 7, '0') AS line_id, CASE p_partkey % 16
+  WHEN 0 THEN 'S/S ' || p_name || ' 3/4"' WHEN 1 THEN 'SS304 ' || p_name || ' M' || {_SIZE} || 'x50' WHEN 2 THEN p_name || ' z.p. class B ' || {_SIZE} || ' cm' WHEN 3 THEN 'ZP ' || p_name || ' 1.5kg'
+  WHEN 4 THEN 'SDS ' || upper(p_name) || ' 1-1/2"' WHEN 5 THEN 'skru/' || p_name || '/' || {_SIZE} || 'mm' WHEN 6 THEN 'Ayam 250 g ' || p_name WHEN 7 THEN 'SUSU 1.5 l, ' || p_name || ' 500ml'
+  WHEN 8 THEN p_name || ' 2″ flap / cutting' WHEN 9 THEN p_name || ' 7''''  ss 316' WHEN 10 THEN 'Große ' || p_name || ' 1/2/3 HDG' WHEN 11 THEN p_name || ' 10 mm 1 cm black PVC' WHEN 12 THEN 's s ' || p_name || ' stainless 410 0.5 kg 500 g'
+  WHEN 13 THEN p_name || ' 1/0 mm brass class a class c' WHEN 14 THEN p_name || ' grinding disc ' || {_SIZE} || ' inch green' ELSE p_name END AS raw_text
 FROM part""",
     "aliases": f"""SELECT {_TENANT} AS tenant, 'C' || CAST(p_partkey % 20 AS STRING) AS customer_id, 'S' || CAST(p_partkey % 40 AS STRING) AS customer_sku, {_CODE} AS item_code,
   CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 12 = 2 THEN '2024-04-01' ELSE '2024-01-01' END AS valid_from,

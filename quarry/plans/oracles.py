@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.ledger import DUCKDB, ledger_sql
 from .inputs import SQL, WHOLE, ctes
 
 
@@ -10,6 +11,21 @@ def norm(x: str) -> str:
     return f"array_to_string(regexp_extract_all(lower({x}), '[0-9]+/[0-9]+|[0-9]+(?:\\.[0-9]+)?|[a-z]+'), ' ')"
 
 
+def normalised(x: str) -> str:
+    """Normalised text, abbreviations and all. Slashes between digits are kept by a mark, put in twice as matches do not overlap."""
+    t = f"replace(lower({x}), 'ß', 'ss')"
+    for mark in ("″", '"', "''''"):
+        t = f"replace({t}, '{mark}', ' inch ')"
+    t = f"regexp_replace({t}, '\\bss(\\s*[0-9])', 'stainless \\1', 'g')"
+    t = f"regexp_replace({t}, '\\bsds\\b', 'self drilling screw', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])/([0-9])', '\\1§\\2', 'g')"
+    t = f"replace(replace({t}, '/', ' '), '§', '/')"
+    for pattern, word in (("z\\s*\\.\\s*p\\.?", "zinc plated"), ("zp", "zinc plated"), ("s\\s*/?\\s*s", "stainless"), ("skru", "screw"), ("ayam", "chicken"), ("susu", "milk")):
+        t = f"regexp_replace({t}, '\\b{pattern}\\b', '{word}', 'g')"
+    return f"array_to_string(regexp_extract_all({t}, '[0-9]+/[0-9]+|[0-9]+(?:\\.[0-9]+)?|[a-z]+'), ' ')"
+
+
 ELIGIBLE = "(disabled = '0' AND NOT ends_with(item_code, '-OLD') AND upper(trim(item_name)) NOT IN ('DELIVERY FEE', 'OPENING BALANCE'))"
 
 EVIDENCE = f"""
@@ -104,15 +120,15 @@ MATCH = ctes("catalogue", "lines", "aliases") + "," + EVIDENCE
 FULL = MATCH + "," + RETRIEVAL
 
 
-def report(prefix: str, first: str, last: str, prior: str) -> str:
-    """The report as scalar subqueries over groups."""
-    c = ctes(f"{prefix}_tenants", f"{prefix}_lines", f"{prefix}_events", f"{prefix}_items")
+def report(prefix: str, first: str, last: str, prior: str, given: str | None = None) -> str:
+    """The report as scalar subqueries over groups. given: common table expressions of its inputs."""
+    c = given or ctes(f"{prefix}_tenants", f"{prefix}_lines", f"{prefix}_events", f"{prefix}_items")
     return f"""{c},
 t AS (SELECT * FROM {prefix}_tenants), ol AS (SELECT * FROM {prefix}_lines), me AS (SELECT * FROM {prefix}_events), im AS (SELECT * FROM {prefix}_items WHERE disabled = 1),
 g AS (SELECT ol.tenant_id, plan, channel, day, count(DISTINCT line_id) AS lines_total, count(DISTINCT customer_id) AS distinct_customers FROM ol JOIN t ON ol.tenant_id = t.tenant_id WHERE day BETWEEN '{first}' AND '{last}' GROUP BY ALL),
 a AS (SELECT me.tenant_id, channel, ol.day, count(DISTINCT me.line_id) AS n FROM me JOIN ol ON me.line_id = ol.line_id WHERE accepted = 1 GROUP BY ALL),
 o AS (SELECT ol.tenant_id, channel, ol.day, count(*) AS n FROM me JOIN ol ON me.line_id = ol.line_id GROUP BY ALL),
-e AS (SELECT tenant_id, day, avg(score) FILTER (WHERE accepted = 1) AS s, max(latency_ms) AS mx, avg(latency_ms) AS av, quantile_disc(latency_ms, 0.95) AS p FROM me GROUP BY ALL),
+e AS (SELECT tenant_id, day, CAST(sum(CAST(score AS DECIMAL(28,12))) FILTER (WHERE accepted = 1) AS DOUBLE) / nullif(count(score) FILTER (WHERE accepted = 1), 0) AS s, max(latency_ms) AS mx, avg(latency_ms) AS av, quantile_disc(latency_ms, 0.95) AS p FROM me GROUP BY ALL),
 seen AS (SELECT DISTINCT tenant_id, day, item_code FROM me WHERE accepted = 1),
 r AS (SELECT x.tenant_id, x.day, count(*) AS n FROM seen x SEMI JOIN seen y ON x.tenant_id = y.tenant_id AND x.item_code = y.item_code AND y.day = {prior.format('x.day')} GROUP BY ALL),
 d AS (SELECT me.tenant_id, me.day, count(*) AS n FROM me JOIN im ON me.tenant_id = im.tenant_id AND me.item_code = im.item_code WHERE accepted = 1 GROUP BY ALL)
@@ -122,6 +138,9 @@ LEFT JOIN e ON (e.tenant_id, e.day) = (g.tenant_id, g.day) LEFT JOIN r ON (r.ten
 
 
 DAY_BEFORE = "strftime(CAST({0} AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d')"
+#: Also of days beyond a month's end.
+DAY_BEFORE_ANY = "strftime(CAST(substr({0}, 1, 8) || '01' AS DATE) + to_days(CAST(substr({0}, 9, 2) AS INT) - 2), '%Y-%m-%d')"
+LEDGER = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in zip(("ledger_tenants", "ledger_items", "ledger_lines", "ledger_events"), ledger_sql(DUCKDB).values()))
 MONTH_BEFORE = "strftime(CAST({0} || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')"
 
 HIT = "(label <> '' AND (first_code = label AND n_candidates > 0 OR second_code = label AND n_candidates > 1))"
@@ -142,11 +161,17 @@ cl AS (SELECT lc.*, CASE WHEN r.dirty THEN CASE WHEN lc.version <> r.version THE
 UTC = "strftime(CAST({0} AS TIMESTAMP) - INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 SYNC = ctes("changes", "local_records", "local_outbox") + "," + FEED
 
+DECIDED = FULL + ", " + ctes("policy").removeprefix("WITH ") + """, m0 AS (SELECT d.*, p.probability, len(d.issues) = 0 AND coalesce(p.enabled, false) AND len(d.codes) > 0 AS auto FROM dec d LEFT JOIN policy p USING (bucket)),
+m AS (SELECT line_id, bucket, auto, codes, scores, CASE WHEN auto THEN codes[1] ELSE '' END AS item_code, CAST(coalesce(probability, 0) AS DOUBLE) AS confidence, CASE WHEN list_contains(issues, 'not_an_item') THEN 'reject' WHEN auto THEN 'auto' ELSE 'review' END AS decision,
+ CASE WHEN len(issues) > 0 THEN issues[1] WHEN auto AND bucket = 'identifier' THEN 'identifier_verified' ELSE bucket END AS reason_code FROM m0)"""
+
 ORACLES = {
     "report_days": report("day", "2024-01-02", "2024-01-29", DAY_BEFORE),
     "report_months": report("month", "1996-01", "1999-12", MONTH_BEFORE),
     "report_slice": f"SELECT tenant_id, plan, channel, day, lines_total, lines_accepted, distinct_customers FROM ({report('day', '2024-01-05', '2024-01-08', DAY_BEFORE)}) WHERE tenant_id IN ('T1', 'T4')",
-    "report_rerun_differences": "SELECT CAST(0 AS BIGINT) AS n",
+    "report_rerun_differences": f"""WITH a AS ({report('day', '2024-01-10', '2024-01-12', DAY_BEFORE)}), b AS ({report('day', '2024-01-10', '2024-01-12', DAY_BEFORE).replace('me AS (SELECT * FROM day_events)', "me AS (SELECT * FROM day_events WHERE item_code <> 'I7')")})
+SELECT 'a' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'none', 0""",
+    "report_seeded_ledger": report("ledger", "2026-04-28", "2026-06-31", DAY_BEFORE_ANY, LEDGER).replace("round(s, 6)", "round(s, 12)").replace("round(av, 6)", "round(av, 12)"),
     "p95_by_window": ctes("day_events") + " SELECT tenant_id, day, CAST(quantile_disc(latency_ms, 0.95) AS DOUBLE) AS p95_latency_ms FROM day_events GROUP BY ALL",
     "previous_days": """SELECT DISTINCT d, strftime(CAST(substr(d, 1, 8) || '01' AS DATE) + to_days(CAST(CAST(substr(d, 9, 2) AS INT) - 2 AS INT)), '%Y-%m-%d') AS before
 FROM (SELECT substr(CAST(o_orderdate AS STRING), 1, 8) || lpad(CAST(1 + o_orderkey % 31 AS STRING), 2, '0') AS d FROM orders)""",
@@ -163,20 +188,26 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS "rows", count(*) FILTER (WHERE t >
 c AS (SELECT 'lines' AS counter FROM j UNION ALL SELECT 'with_candidates' FROM j WHERE len(codes) > 0 UNION ALL SELECT 'target_retrieved' FROM j WHERE label <> '' AND list_contains(codes, label) UNION ALL SELECT 'unique_without_issue' FROM j WHERE len(codes) = 1 AND len(issues) = 0 UNION ALL SELECT 'issue:' || unnest(issues) FROM j)
 SELECT counter, count(*) AS n FROM c GROUP BY counter""",
     "alias_targets": MATCH + " SELECT DISTINCT line_id, target AS code FROM ali2 WHERE active",
-    "normalised_texts": ctes("lines") + f" SELECT line_id, {norm('raw_text')} AS normalised, array_to_string(regexp_extract_all(lower(raw_text), '\\w+'), ' ') AS word_key FROM lines",
-    "item_attributes": ctes("catalogue") + f""", n AS (SELECT tenant, item_code, {norm('item_name')} AS name FROM catalogue)
-SELECT tenant, item_code, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(name, '([0-9]+(?:\\.[0-9]+)?)\\s*mm\\b', 1), lambda x: CAST(CAST(x AS INT) AS STRING)))), '|') AS length, array_to_string(list_sort(list_distinct(regexp_extract_all(name, '\\b(red|blue)\\b', 1))), '|') AS colour FROM n""",
+    "normalised_texts": ctes("texts") + f" SELECT line_id, {normalised('raw_text')} AS normalised, array_to_string(regexp_extract_all(replace(lower(raw_text), 'ß', 'ss'), '\\w+'), ' ') AS word_key FROM texts",
+    "item_attributes": ctes("texts") + f""", n AS (SELECT line_id, {normalised('raw_text')} AS name FROM texts),
+q AS (SELECT line_id, name, unnest(regexp_extract_all(name, '([0-9]+/[0-9]+|[0-9]+(?:\\.[0-9]+)?)\\s*(mm|cm|inch|kg|g|ml|l)\\b', 1)) AS v, unnest(regexp_extract_all(name, '([0-9]+/[0-9]+|[0-9]+(?:\\.[0-9]+)?)\\s*(mm|cm|inch|kg|g|ml|l)\\b', 2)) AS u FROM n),
+w AS (SELECT line_id, CASE WHEN u IN ('mm', 'cm', 'inch') THEN 'length' WHEN u IN ('kg', 'g') THEN 'weight' ELSE 'volume' END AS kind,
+  CAST(round(round(CAST(split_part(v, '/', 1) AS DOUBLE) / nullif(CASE WHEN contains(v, '/') THEN CAST(split_part(v, '/', 2) AS DOUBLE) ELSE 1 END, 0) * CASE u WHEN 'cm' THEN 10 WHEN 'inch' THEN 25.4 WHEN 'kg' THEN 1000 WHEN 'l' THEN 1000 ELSE 1 END, 6) * 1000) AS BIGINT) AS x FROM q),
+g AS (SELECT line_id, {', '.join(f"coalesce(array_to_string(list_transform(list_sort(list_distinct(list(x) FILTER (WHERE kind = '{k}' AND x IS NOT NULL))), lambda y: CAST(y AS STRING)), '|'), '') AS {k}" for k in ('length', 'weight', 'volume'))} FROM w GROUP BY line_id)
+SELECT n.line_id, {', '.join(f"coalesce(g.{k}, '') AS {k}" for k in ('length', 'weight', 'volume'))}, {', '.join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(name, '{p}', 1))), '|') AS {k}" for k, p in (('colour', '\\b(red|blue|brown|white|black|yellow|green)\\b'), ('grade', '\\bclass ([a-z])\\b'), ('disc_kind', '\\b(grinding|cutting|flap)\\b'), ('material', '\\b(stainless|zinc plated|brass|pvc|hdg)\\b'), ('steel_grade', '\\bstainless (304|316|410)\\b')))}
+FROM n LEFT JOIN g ON n.line_id = g.line_id""",
     "noise_flag_counts": ctes("lines") + """, f AS (SELECT unnest(CASE WHEN len(x) = 0 THEN ['other'] ELSE x END) AS flag FROM (SELECT list_filter([CASE WHEN buyer_sku <> '' OR raw_barcode <> '' THEN 'structured_identifier' END, CASE WHEN regexp_matches(raw_text || ' ' || uom_text, '(?i)\\b(?:ctn|carton|box|case|pack|packet)\\b') THEN 'pack_word' END,
  CASE WHEN regexp_matches(raw_text, '(?i)[0-9]\\s*(?:mm|cm|kg|inch|"|″)') THEN 'dimension_or_weight_token' END, CASE WHEN regexp_matches(raw_text, '(?i)\\b(?:skru|ayam|susu)\\b') THEN 'selected_malay_word' END, CASE WHEN contains(raw_text, '/') OR contains(raw_text, '  ') THEN 'separator_or_spacing' END], lambda v: v IS NOT NULL) AS x FROM lines))
 SELECT flag, count(*) AS n FROM f GROUP BY flag""",
     "pack_families": FULL + " SELECT tenant, brand, stem, uom FROM fam",
     "lexical_candidates": FULL + " SELECT line_id, CAST(rank AS INT) AS rank, code, round(score, 6) AS score FROM top",
     "lexical_issues": FULL + " SELECT line_id, array_to_string(issues, '|') AS issues, exact_unique FROM ret",
-    "match_decisions": FULL + ", " + ctes("policy").removeprefix("WITH ") + """, m AS (SELECT d.*, p.probability, len(d.issues) = 0 AND coalesce(p.enabled, false) AND len(d.codes) > 0 AS auto FROM dec d LEFT JOIN policy p USING (bucket))
-SELECT line_id, bucket, CASE WHEN auto THEN codes[1] ELSE '' END AS item_code, CAST(coalesce(probability, 0) AS DOUBLE) AS confidence, CASE WHEN list_contains(issues, 'not_an_item') THEN 'reject' WHEN auto THEN 'auto' ELSE 'review' END AS decision,
- CASE WHEN len(issues) > 0 THEN issues[1] WHEN auto AND bucket = 'identifier' THEN 'identifier_verified' ELSE bucket END AS reason_code FROM m""",
-    "match_contract": "SELECT CAST(0 AS BIGINT) AS broken_rows",
-    "predictions": FULL + """ SELECT line_id, array_to_string(list_transform(range(1, len(codes) + 1), lambda i: codes[i] || ':' || printf('%.8f', scores[i])), '|') AS candidates FROM ret""",
+    "match_decisions": DECIDED + " SELECT line_id, bucket, item_code, confidence, decision, reason_code FROM m",
+    "match_contract": DECIDED + """, x AS (SELECT *, CAST(substr(line_id, 2) AS INT) % 11 AS k, len(codes) AS n FROM m),
+r AS (SELECT 'confidence_range' AS rule FROM x WHERE k = 0 UNION ALL SELECT 'unknown_decision' FROM x WHERE k = 1 UNION ALL SELECT 'reason_token' FROM x WHERE k = 2 UNION ALL SELECT 'auto_needs_code' FROM x WHERE k IN (1, 3) AND auto
+ UNION ALL SELECT unnest(['ineligible_item', 'item_not_first']) FROM x WHERE k = 4 AND auto UNION ALL SELECT 'too_many_candidates' FROM x WHERE k = 5 AND 2 * n > 3 UNION ALL SELECT 'duplicate_candidates' FROM x WHERE k = 5 AND n > 0 UNION ALL SELECT 'unsorted_candidates' FROM x WHERE k = 5 AND n > 1)
+SELECT 'faulty' AS results, rule, count(*) AS broken_rows FROM r GROUP BY rule""",
+    "predictions": DECIDED + """ SELECT line_id, item_code, printf('%.8f', confidence) AS confidence, decision, reason_code, array_to_string(list_transform(range(1, len(codes) + 1), lambda i: codes[i] || ':' || printf('%.8f', scores[i])), '|') AS candidates FROM m""",
     "proposal_curve": FULL + ", " + ctes("labels_of_lines").removeprefix("WITH ") + """, z AS (SELECT ret.*, label, coalesce(CASE WHEN len(scores) > 1 THEN scores[1] - scores[2] ELSE scores[1] END, 0) AS margin FROM ret JOIN labels_of_lines USING (line_id)), t AS (SELECT unnest([0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0]::DOUBLE[]) AS threshold)
 SELECT threshold, count(*) FILTER (WHERE len(codes) > 0 AND len(issues) = 0 AND scores[1] >= threshold AND margin >= 0.05) AS proposed, count(*) FILTER (WHERE len(codes) > 0 AND len(issues) = 0 AND scores[1] >= threshold AND margin >= 0.05 AND codes[1] = label) AS correct FROM z, t GROUP BY threshold""",
     "review_queue": FULL + ", " + ctes("labels_of_lines").removeprefix("WITH ") + " SELECT line_id, label FROM ret JOIN labels_of_lines USING (line_id) WHERE label <> '' AND (len(codes) = 0 OR codes[1] <> label) ORDER BY line_id LIMIT 20",
@@ -189,7 +220,7 @@ SELECT threshold, count(*) FILTER (WHERE len(codes) > 0 AND len(issues) = 0 AND
     "bucket_fit": ctes("records") + f""", b AS (SELECT bucket, count(*) AS n, count(*) FILTER (WHERE {TOP_RIGHT}) AS correct FROM records GROUP BY bucket),
 w AS (SELECT *, CASE WHEN bucket = 'no_candidate' THEN 0.0 ELSE (correct + 1) / (n + 2) END AS probability, correct / n AS p, (correct / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(correct / n * (1 - correct / n) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM b)
 SELECT bucket, n, correct, round(probability, 9) AS probability, round(p, 9) AS observed_precision, round(greatest(0, c - h), 9) AS wilson_low, round(least(1, c + h), 9) AS wilson_high, bucket NOT IN ('blocked', 'no_candidate') AND n >= 10 AND p >= 0.98 AND probability > 760 / 820 AS enabled FROM w""",
-    "release_gates": ctes("records") + f", s AS (SELECT {SUMMARY} FROM records), r AS (SELECT *, {RATES} FROM s), g AS (SELECT unnest(['lines =', 'wrong_auto =', 'precision >=', 'coverage >=', 'improvement_over_all_review >=', 'recall_at_3 >=', 'ece <=', 'brier <=', 'warm_p95_ms <=']) AS gate, unnest([lines, wrong_auto, precision, coverage, improvement_over_all_review, recall_at_3, NULL, NULL, NULL]::DOUBLE[]) AS value, unnest([114, 0, 0.98, 0.2, 1200, 0.8, 0.1, 0.16, 250]::DOUBLE[]) AS bound FROM r) SELECT gate, round(value, 9) AS value, bound, coalesce(CASE WHEN ends_with(gate, '>=') THEN value >= bound WHEN ends_with(gate, '<=') THEN value <= bound ELSE value = bound END, false) AS passed FROM g",
+    "release_gates": ctes("records") + f", b AS (SELECT confidence, count(*) AS n, count(*) FILTER (WHERE {TOP_RIGHT}) / count(*) AS o FROM records GROUP BY 1), ce AS (SELECT (SELECT sum(n * abs(confidence - o)) / sum(n) FROM b) AS ece, (SELECT avg(pow(confidence - CASE WHEN {TOP_RIGHT} THEN 1 ELSE 0 END, 2)) FROM records) AS brier), s AS (SELECT {SUMMARY} FROM records), r AS (SELECT *, {RATES} FROM s), g AS (SELECT unnest(['lines =', 'wrong_auto =', 'precision >=', 'coverage >=', 'improvement_over_all_review >=', 'recall_at_3 >=', 'ece <=', 'brier <=', 'warm_p95_ms <=', 'stale_files =']) AS gate, unnest([lines, wrong_auto, precision, coverage, improvement_over_all_review, recall_at_3, ece, brier, warm_p95_ms, 1]::DOUBLE[]) AS value, unnest([114, 0, 0.98, 0.2, 1200, 0.8, 0.1, 0.16, 250, 0]::DOUBLE[]) AS bound FROM r, ce, (SELECT quantile_disc(CAST(position % 300 AS DOUBLE), 0.95) AS warm_p95_ms FROM records)) SELECT gate, round(value, 9) AS value, bound, coalesce(CASE WHEN ends_with(gate, '>=') THEN value >= bound WHEN ends_with(gate, '<=') THEN value <= bound ELSE value = bound END, false) AS passed FROM g",
     "line_split": ctes("catalogue", "lines", "labels_of_lines") + """, k AS (SELECT line_id, unnest(list_filter(['t|' || tenant || '|' || array_to_string(regexp_extract_all(lower(raw_text), '\\w+'), ' '), CASE WHEN label <> '' THEN 'g|' || tenant || '|' || label END, CASE WHEN buyer_sku <> '' THEN 'a|' || tenant || '|' || customer_id || '|' || buyer_sku END, CASE WHEN raw_barcode <> '' THEN 'b|' || tenant || '|' || raw_barcode END], lambda x: x IS NOT NULL)) AS key FROM lines JOIN labels_of_lines USING (line_id)),
 m AS (SELECT key, min(line_id) AS m FROM k GROUP BY key), e AS (SELECT line_id AS a, m AS b FROM k JOIN m USING (key) UNION SELECT m, line_id FROM k JOIN m USING (key)),
 r(a, b) AS (SELECT line_id, line_id FROM lines UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS line_id, min(b) AS root FROM r GROUP BY a),
