@@ -1,25 +1,22 @@
-"""Lexical evidence: candidates by shared terms, blended cosines, conflicts, pack families.
+"""Lexical evidence: blended cosines of lines and items, conflicts, pack families, the best candidates of each line.
 
-Only items that share a term with a line are scored, and not by every term. A line's commonest tokens and trigrams are set
-aside together as long as a pair that shares no others stays below the floor: by the most that each term can add, given
-the largest part that it has in any item's length, or by the parts of the line's own lengths that are set aside (a cosine is
-at most the root of that part), whichever is less. So the join keys are the rarer terms.
+Pairs of a line and an item stay within a task: lines and items meet in tiles of a tenant (tiles.py), and only what a line
+keeps of a tile's items leaves it. So what is written grows with lines and items rather than with their pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.scratch import Scratch, partitions, spread
 from .catalogue import completed, eligible
 from .identifiers import identifier_index
+from .tiles import FLOOR, GRAM_WEIGHT, IDENTIFIED, KEY, TILE_ITEMS, TILE_LINES, TILE_SCHEMA, TOKEN_WEIGHT, TOP, tile
 
-FLOOR, TOP, CLOSE = 0.25, 3, 0.05
-TOKEN_WEIGHT, GRAM_WEIGHT, IDENTIFIED = 0.55, 0.45, 0.99
-#: What bounds may be off by: sums in doubles, and scores that round up to the floor.
-SLACK = 1e-7
+CLOSE = 0.05
+BY = ["tenant", "brand", "stem", "uom"]
 
 
 def _none():
@@ -27,28 +24,23 @@ def _none():
 
 
 def prepared_items(catalogue: DataFrame) -> DataFrame:
-    """Eligible items: name, bags of tokens and trigrams, attributes, brand, and the family of their packs."""
+    """Eligible items: name, attributes, brand, and the family of their packs."""
     cat = completed(catalogue).where(eligible())
     name = X.normalise(F.col("item_name"))
     packs = F.from_json(F.when(F.col("uom_conversions") == "", "[]").otherwise(F.col("uom_conversions")), "array<struct<uom:string,conversion_factor:double>>")
     signature = F.to_json(F.array_sort(F.transform(packs, lambda p: F.struct(X.casefold(p["uom"]).alias("u"), p["conversion_factor"].alias("f")))))
     items = cat.select("tenant", F.col("item_code").alias("code"), name.alias("name"), X.normalise(F.col("brand")).alias("brand"), X.casefold(F.col("stock_uom")).alias("uom"), signature.alias("packs"))
     bulk = F.array_contains(X.words(F.col("name")), "bulk")
-    return items.select("*", X.attributes(F.col("name")).alias("offered"), *_bags("name"), bulk.alias("bulk"), F.trim(F.regexp_replace("name", r"\bbulk\b", "")).alias("stem"))
-
-
-def _bags(text: str) -> list:
-    return [X.bag(X.words(F.col(text))).alias("words"), X.bag(F.transform(X.trigrams(F.col(text)), X.gram_key)).alias("grams")]
+    return items.select("*", X.attributes(F.col("name")).alias("offered"), bulk.alias("bulk"), F.trim(F.regexp_replace("name", r"\bbulk\b", "")).alias("stem"))
 
 
 def pack_families(items: DataFrame) -> DataFrame:
     """(tenant, brand, stem, uom) of items that differ by Bulk and in their packs."""
-    by = ["tenant", "brand", "stem", "uom"]
-    return items.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or("bulk").alias("any"), F.count_distinct("packs").alias("kinds")).where("n > 1 and any and kinds > 1").select(*by)
+    return items.groupBy(*BY).agg(F.count("*").alias("n"), F.bool_or("bulk").alias("any"), F.count_distinct("packs").alias("kinds")).where("n > 1 and any and kinds > 1").select(*BY)
 
 
 def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Lines with the normalised text and its counts, attributes of the text without known identifiers, and brands in it."""
+    """Lines with the normalised text, attributes of the text without known identifiers, and brands in it."""
     cat = completed(catalogue)
     # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone is
     # one of them, but for marks before and after it. One that is found so and is not there itself is removed from nothing.
@@ -68,90 +60,74 @@ def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     mentioned = base.select("line_id", "tenant", F.explode(phrases).alias("b")).join(brands, ["tenant", "b"]).groupBy("line_id").agg(F.collect_set("b").alias("mentioned"))
     bare = X.normalise(X.without_words(F.col("raw_text"), F.coalesce("known", _none())))
     out = base.join(found, "line_id", "left").join(mentioned, "line_id", "left").withColumn("bare", bare)
-    return out.select("line_id", "tenant", "query", *_bags("query"), X.attributes(F.col("bare")).alias("requested"), F.coalesce("mentioned", _none()).alias("mentioned"))
-
-
-def _terms(rows: DataFrame, *keys: str) -> DataFrame:
-    """A row for each term: keys, term (a token, or a trigram's number), its kind's weight, and its part of the length."""
-
-    def kind(name: str, weight: float) -> DataFrame:
-        bag = F.col(name)
-        part = lambda k: F.coalesce(F.try_element_at(bag["more"], k), F.lit(1).cast("long")) / F.sqrt(bag["square"])
-        each = F.transform(bag["keys"], lambda k: F.struct(F.concat(F.lit(name[0]), k.cast("string")).alias("term"), part(k).alias("part")))
-        return rows.select(*keys, F.explode(each).alias("t")).select(*keys, "t.*", F.lit(weight).alias("weight"))
-
-    return kind("words", TOKEN_WEIGHT).unionByName(kind("grams", GRAM_WEIGHT))
-
-
-def candidate_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(line_id, tenant, code) of all pairs that can reach the floor, and of others."""
-    of_items = _terms(items, "tenant", "code")
-    known = of_items.groupBy("tenant", "term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
-    asked = _terms(queries, "line_id", "tenant").join(known, ["tenant", "term"])
-    commonest = Window.partitionBy("line_id").orderBy(F.desc("df"), "term")
-    share = lambda w: F.sqrt(F.sum(F.when(F.col("weight") == w, F.col("part") * F.col("part")).otherwise(0.0)).over(commonest)) * w
-    bound = F.least(F.sum(F.col("weight") * F.col("part") * F.col("most")).over(commonest), share(TOKEN_WEIGHT) + share(GRAM_WEIGHT))
-    rare = asked.withColumn("bound", bound).where(F.col("bound") >= FLOOR - SLACK).select("line_id", "tenant", "term")
-    return rare.join(of_items.select("tenant", "term", "code"), ["tenant", "term"]).select("line_id", "tenant", "code").distinct()
+    return out.select("line_id", "tenant", "query", X.attributes(F.col("bare")).alias("requested"), F.coalesce("mentioned", _none()).alias("mentioned"))
+
+
+def _attributes(c: str) -> Column:
+    """Each attribute's values as one text, null where there are none."""
+    return F.array(*(F.array_join(F.col(c)[k].cast("array<string>"), "|") for k in X.ATTRIBUTES)).alias("attributes")
+
+
+def by_tiles(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """What each line keeps of its tenant's items, as TILE_SCHEMA has it."""
+    blocks = lambda rows, most, name: rows.groupBy("tenant").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = blocks(queries, TILE_LINES, "line_blocks").join(blocks(items, TILE_ITEMS, "item_blocks"), "tenant")
+    number = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    clean = (F.size("codes") == 1) & (F.size("issues") == 0)
+    left = queries.join(sizes, "tenant").select("tenant", number("line_blocks", "line_id").alias("line_block"), each("item_blocks").alias("item_block"), "line_id", "query", _attributes("requested"), "mentioned", "codes", clean.alias("clean"))
+    # A family stays whole, so that its tile knows all siblings.
+    right = items.join(sizes, "tenant").select("tenant", each("line_blocks").alias("line_block"), number("item_blocks", "brand", "stem", "uom").alias("item_block"), "code", "name", _attributes("offered"), "brand", F.when(F.col("packed"), F.struct("brand", "stem", "uom").cast("string")).alias("family"), "bulk")
+    # Short rows and long work: dealt out by number, as sizes would put many tiles into one task.
+    dealt = lambda rows: rows.repartition(partitions(rows.sparkSession), *KEY).groupBy(*KEY)
+    found = dealt(left).cogroup(dealt(right)).applyInArrow(tile, TILE_SCHEMA)
+    first = F.when(F.size("scores") > 0, F.struct(-F.get("scores", F.lit(0)), F.get("codes", F.lit(0))))
+    top = F.flatten(F.collect_list(F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("codes").alias("c"))))
+    return found.groupBy("line_id").agg(
+        F.transform(F.slice(F.array_sort(top), 1, TOP), lambda t: F.struct(t["c"].alias("code"), (-t["s"]).alias("score"))).alias("top"),
+        F.sum("exact").alias("exact"),
+        F.min_by("kin", first).alias("kin"),
+        F.min_by("offers", first).alias("offers"),
+        F.bool_or("text_conflict").alias("text_conflict"),
+        F.bool_or("pack_conflict").alias("pack_conflict"),
+    )
 
 
 def all_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Every item of the line's tenant: what candidate_pairs() is tested against."""
+    """Every item of the line's tenant."""
     return queries.select("line_id", "tenant").join(items.select("tenant", "code"), "tenant")
 
 
-def scored(pairs: DataFrame, queries: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Pairs with score and conflicts; of pack siblings also the query and the family."""
-    q = queries.withColumnsRenamed({"words": "qwords", "grams": "qgrams"})
-    j = pairs.join(q, ["line_id", "tenant"]).join(items, ["tenant", "code"]).join(evidence.select("line_id", "codes"), "line_id")
+def scored(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs with score and conflicts; of pack siblings also the family."""
+    bags = lambda rows, text, *names: rows.withColumns({names[0]: X.bag(X.words(F.col(text))), names[1]: X.bag(F.transform(X.trigrams(F.col(text)), X.gram_key))})
+    j = pairs.join(bags(queries, "query", "qwords", "qgrams"), ["line_id", "tenant"]).join(bags(items, "name", "words", "grams"), ["tenant", "code"])
     identified = F.array_contains("codes", F.col("code"))
     blend = TOKEN_WEIGHT * X.bag_cosine(F.col("qwords"), F.col("words")) + GRAM_WEIGHT * X.bag_cosine(F.col("qgrams"), F.col("grams"))
     brand = F.when((F.size("mentioned") > 0) & ~F.array_contains("mentioned", F.col("brand")), F.array(F.lit("brand"))).otherwise(_none())
     bad = F.array_sort(F.concat(X.conflicts(F.col("requested"), F.col("offered")), brand))
     score = F.round(F.when(identified, F.greatest(blend, F.lit(IDENTIFIED))).otherwise(blend), 8)
-    family = F.when(F.col("packed"), F.struct("tenant", "brand", "stem", "uom"))
+    family = F.when(F.col("packed"), F.struct(*BY))
     exact = F.col("name") == F.col("query")
-    return j.select("line_id", "code", score.alias("score"), bad.alias("conflicts"), identified.alias("identified"), exact.alias("exact"), F.when(F.col("packed"), F.col("query")).alias("query"), family.alias("family"))
+    offers = F.array(*(F.col("offered")[k].isNotNull() for k in X.ATTRIBUTES))
+    return j.select("line_id", "code", "query", "codes", "issues", score.alias("score"), bad.alias("conflicts"), identified.alias("identified"), exact.alias("exact"), family.alias("family"), offers.alias("offers"))
 
 
-def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence: DataFrame, exhaustive: bool = False) -> DataFrame:
-    """Per line: candidates (up to three of code and score), issues, exact_unique and margin.
-
-    Prepared items, queries and scored pairs are written once, as several later steps read each.
-    """
-    by = ["tenant", "brand", "stem", "uom"]
-    prepared = scratch.table(prepared_items(spread(catalogue)), "prepared")
-    items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), by, "left")
-    items = scratch.table(items.withColumn("packed", F.coalesce("packed", F.lit(False))), "items")
-    tenants = catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True))
-    q = query_features(spread(lines), catalogue).join(tenants, "tenant", "left")
-    early = F.when(F.col("tenant_known").isNull(), "unknown_tenant").when(F.col("query") == "", "empty_text").when(F.col("query").isin(*X.NON_ITEMS), "not_an_item")
-    q = scratch.table(q.withColumn("early", early), "queries")
-    live = q.where("early is null").drop("early", "tenant_known")
-    if exhaustive:
-        pairs = all_pairs(live, items)
-    else:
-        pairs = candidate_pairs(live, items).unionByName(live.select("line_id", "tenant").join(evidence.select("line_id", F.explode("codes").alias("code")), "line_id").select("line_id", "tenant", "code"))
-        # Pack siblings count whether or not they score, so they come along.
-        in_family = items.where("packed").select("tenant", "code", F.struct("brand", "stem", "uom").alias("family"))
-        sibling = in_family.select("tenant", F.col("code").alias("other"), "family")
-        pairs = scratch.table(pairs.distinct(), "pairs")
-        pairs = pairs.unionByName(pairs.join(in_family, ["tenant", "code"]).join(sibling, ["tenant", "family"]).select("line_id", "tenant", F.col("other").alias("code"))).distinct()
-    # Pairs are short rows and long work: dealt out by number, as sizes would put many into one task.
-    pairs = pairs.repartition(partitions(lines.sparkSession), "line_id", "code")
-    s = scratch.table(scored(pairs, live, items, evidence), "scored")
+def by_pairs(scratch: Scratch, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """What by_tiles() gives, by a row for every pair of a tenant: what the tiles are tested against."""
+    s = scratch.table(scored(all_pairs(queries, items), queries, items), "scored")
     text_conflict = s.where(F.col("identified") & (F.size("conflicts") > 0)).select("line_id").distinct().withColumn("text_conflict", F.lit(True))
-    fit = s.where(F.size("conflicts") == 0).join(evidence.select("line_id", "codes", F.col("issues").alias("eissues")), "line_id")
+    fit = s.where(F.size("conflicts") == 0)
     # Within each line and pack family: which siblings the words and a clean identifier leave.
     asked = F.array_intersect(F.split("query", " "), F.array(F.lit("bulk"), F.lit("standard")))
-    clean = (F.size("codes") == 1) & (F.size("eissues") == 0)
+    clean = (F.size("codes") == 1) & (F.size("issues") == 0)
     sole = F.get("codes", F.lit(0))
     # A clean identifier narrows only its own family; its item need not be among the compatible.
-    sib = items.where("packed").select(*by, "code", F.col("bulk").alias("sbulk"))
-    fams = fit.where("family is not null").select("*", "family.*").groupBy("line_id", *by).agg(F.first(asked).alias("asked"), F.first(clean).alias("clean"), F.first(sole).alias("sole"), F.max("score").alias("best"))
+    sib = items.where("packed").select(*BY, "code", F.col("bulk").alias("sbulk"))
+    fams = fit.where("family is not null").select("*", "family.*").groupBy("line_id", *BY).agg(F.first(asked).alias("asked"), F.first(clean).alias("clean"), F.first(sole).alias("sole"), F.max("score").alias("best"))
     choice = (F.when(F.size("asked") == 1, F.col("sbulk") == (F.get("asked", F.lit(0)) == "bulk")).otherwise(F.lit(True)))
-    each = fams.join(sib, by).withColumn("chosen", choice)
-    w = Window.partitionBy("line_id", *by)
+    each = fams.join(sib, BY).withColumn("chosen", choice)
+    w = Window.partitionBy("line_id", *BY)
     own = F.col("clean") & F.coalesce(F.bool_or(F.col("code") == F.col("sole")).over(w), F.lit(False))
     each = each.withColumn("chosen", F.when(own, F.col("chosen") & (F.col("code") == F.col("sole"))).otherwise(F.col("chosen")))
     each = each.withColumn("stuck", ~F.bool_or("chosen").over(w) | (F.size("asked") > 1))
@@ -164,20 +140,35 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
     ranked = ranked.withColumn("kin", F.coalesce(F.col("family") == lead, F.lit(False)))
     head = (F.col("rank") <= TOP) & (F.col("score") >= FLOOR)
     per = ranked.groupBy("line_id").agg(
-        F.array_sort(F.collect_list(F.when(head, F.struct("rank", "code", "score")))).alias("top"),
+        F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("rank", "code", "score")))), lambda t: F.struct(t["code"].alias("code"), t["score"].alias("score"))).alias("top"),
         F.count_if("exact").alias("exact"),
         F.count_if("kin").alias("kin"),
-        F.max(F.when(F.col("rank") == 1, F.col("code"))).alias("best"),
+        F.max(F.when(F.col("rank") == 1, F.col("offers"))).alias("offers"),
     )
-    per = per.join(lines.select("line_id", "tenant"), "line_id").join(items.select("tenant", F.col("code").alias("best"), "offered"), ["tenant", "best"], "left").drop("tenant", "best")
-    j = q.join(per, "line_id", "left").join(text_conflict, "line_id", "left").join(pack_issue, "line_id", "left").join(evidence, "line_id", "left")
-    top = F.coalesce("top", F.array().cast("array<struct<rank:int,code:string,score:double>>"))
-    j = j.withColumn("top", top)
+    return queries.select("line_id").join(per, "line_id", "left").join(text_conflict, "line_id", "left").join(pack_issue, "line_id", "left")
+
+
+def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """Per line: candidates (up to three of code and score), issues, exact_unique and margin.
+
+    Prepared items and queries are written once, as several later steps read each.
+    """
+    prepared = scratch.table(prepared_items(spread(catalogue)), "prepared")
+    items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), BY, "left").withColumn("packed", F.coalesce("packed", F.lit(False)))
+    tenants = catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True))
+    q = query_features(spread(lines), catalogue).join(tenants, "tenant", "left").join(evidence.select("line_id", "codes", "issues"), "line_id", "left")
+    early = F.when(F.col("tenant_known").isNull(), "unknown_tenant").when(F.col("query") == "", "empty_text").when(F.col("query").isin(*X.NON_ITEMS), "not_an_item")
+    q = scratch.table(q.withColumn("early", early), "queries")
+    live = q.where("early is null and codes is not null")
+    per = by_pairs(scratch, live, scratch.table(items, "items")) if exhaustive else by_tiles(live, items)
+    j = q.join(per, "line_id", "left")
+    j = j.withColumn("top", F.coalesce("top", F.array().cast("array<struct<code:string,score:double>>")))
     score = lambda i: F.get("top", F.lit(i))["score"]
     margin = F.when(F.size("top") > 1, score(0) - score(1)).when(F.size("top") == 1, score(0)).otherwise(F.lit(0.0))
     has = F.size("top") > 0
-    supported = F.coalesce((F.size("codes") == 1) & (F.size("issues") == 0) & (F.get("codes", F.lit(0)) == F.get("top", F.lit(0))["code"]) & F.col("text_conflict").isNull(), F.lit(False))
-    missing = [F.when(has & ~supported & F.col("offered")[k].isNotNull() & F.col("requested")[k].isNull(), F.lit(f"missing_{k}")) for k in X.ATTRIBUTES]
+    text_conflict = F.coalesce("text_conflict", F.lit(False))
+    supported = F.coalesce((F.size("codes") == 1) & (F.size("issues") == 0) & (F.get("codes", F.lit(0)) == F.get("top", F.lit(0))["code"]) & ~text_conflict, F.lit(False))
+    missing = [F.when(has & ~supported & F.get("offers", F.lit(i)) & F.col("requested")[k].isNull(), F.lit(f"missing_{k}")) for i, k in enumerate(X.ATTRIBUTES)]
     found = F.array_compact(
         F.array(
             F.when(F.col("text_conflict"), "identifier_text_conflict"),
@@ -193,7 +184,7 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
     issues = F.when(F.col("early").isNotNull(), F.array("early")).otherwise(F.array_sort(F.array_distinct(F.concat(found, F.col("issues")))))
     return j.select(
         "line_id",
-        F.transform("top", lambda t: F.struct(t["code"].alias("code"), t["score"].alias("score"))).alias("candidates"),
+        F.col("top").alias("candidates"),
         issues.alias("issues"),
         (F.col("early").isNull() & (F.coalesce("exact", F.lit(0)) == 1)).alias("exact_unique"),
         F.when(F.col("early").isNull(), margin).otherwise(F.lit(0.0)).alias("margin"),
