@@ -174,18 +174,27 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             r = np.floor(rng[:k] * 2.0**-MIX_BITS)
             low[:k] += r * start.astype(np.float64)
             r *= width.astype(np.float64)
-            while (less := r < TOP).any():
-                word = np.floor(low[:k] * 2.0**-32)
-                words[at[:k]] = word.astype(np.uint32)
-                at[:k] += less.astype(np.int64) * n
-                by = less.astype(np.float64)
-                word *= by
-                word *= TOP
-                low[:k] -= word
-                by *= 65535
-                by += 1
-                low[:k] *= by
-                r *= by
+            less = r < TOP
+            word = np.floor(low[:k] * 2.0**-32)
+            words[at[:k]] = word.astype(np.uint32)
+            at[:k] += less.astype(np.int64) * n
+            by = less.astype(np.float64)
+            word *= by
+            word *= TOP
+            low[:k] -= word
+            by *= 65535
+            by += 1
+            low[:k] *= by
+            r *= by
+            # Few lanes have a second word to give.
+            more = (r < TOP).nonzero()[0]
+            while len(more):
+                word = np.floor(low[more] * 2.0**-32)
+                words[at[more]] = word.astype(np.uint32)
+                at[more] += n
+                low[more] = (low[more] - word * TOP) * 65536
+                r[more] *= 65536
+                more = more[r[more] < TOP]
             rng[:k] = r
             m.learn(x, k)
         for _ in range(3):
@@ -254,16 +263,22 @@ def decode_blocks(parts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray
             xt[t, :k] = x
             above[:k] -= r * start.astype(np.float64)
             r *= width.astype(np.float64)
-            while (less := r < TOP).any():
-                word = words.take(at[:k], mode="clip")
-                at[:k] += less.astype(np.int64)
-                by = less.astype(np.float64)
-                word = word * by
-                by *= 65535
-                by += 1
-                r *= by
-                above[:k] *= by
-                above[:k] += word
+            less = r < TOP
+            word = words.take(at[:k], mode="clip")
+            at[:k] += less.astype(np.int64)
+            by = less.astype(np.float64)
+            word = word * by
+            by *= 65535
+            by += 1
+            r *= by
+            above[:k] *= by
+            above[:k] += word
+            more = (r < TOP).nonzero()[0]
+            while len(more):
+                above[more] = above[more] * 65536 + words[at[more]]
+                at[more] += 1
+                r[more] *= 65536
+                more = more[r[more] < TOP]
             rng[:k] = r
             m.learn(x, k)
         for r, i in enumerate(own):

@@ -1,6 +1,7 @@
 """Token files, token counts and packing, against the library itself."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -255,3 +256,16 @@ def test_targets_of_packing(spark):
     first = [r for r in got if r["sequence_id"] < 4]
     share = sum(r["length"] for r in first if r["doc_id"] % 2) / sum(r["length"] for r in first)
     assert abs(share - 0.75) < 0.01
+
+
+def test_steps_that_give_two_words():
+    """Ids that cost more than 16 bits, in some lanes of a group only."""
+    from quarry.llm.token_files import BLOCK, HEAD, decode_blocks, encode_blocks
+
+    rng = np.random.default_rng(3)
+    blocks = [np.where(rng.random(BLOCK) < 0.003 * (i % 3), rng.integers(0, 50_000, BLOCK), 7).astype(np.uint32) for i in range(40)]
+    parts = []
+    for b in encode_blocks(blocks):
+        n, alphabet, head, _, _ = struct.unpack(HEAD, b[: (at := struct.calcsize(HEAD))])
+        parts.append((n, alphabet, b[at : at + head], b[at + head :]))
+    assert all((x == y).all() for x, y in zip(blocks, decode_blocks(parts), strict=True))
