@@ -61,7 +61,8 @@ def retrieve_identifiers(scratch: Scratch, lines: DataFrame, catalogue: DataFram
     """Per line its evidence: eligible codes, sources and issues, each sorted. aliases: none is a cold start."""
     cat = completed(catalogue)
     index = identifier_index(cat)
-    known = cat.select("tenant").distinct().withColumn("tenant_known", F.lit(True))
+    # Written, so that Spark knows it to be small before it moves lines to it.
+    known = scratch.table(cat.select("tenant").distinct().withColumn("tenant_known", F.lit(True)), "tenants")
     lines = lines.join(known, "tenant", "left").withColumn("tenant_known", F.coalesce("tenant_known", F.lit(False)))
     own = lines.where("tenant_known")
     hits = scratch.table(identifier_hits(own, index), "hits")
@@ -99,4 +100,6 @@ def retrieve_identifiers(scratch: Scratch, lines: DataFrame, catalogue: DataFram
         F.coalesce("more", none),
     )
     out = j.select("line_id", F.coalesce("codes", none).alias("codes"), F.coalesce("sources", none).alias("sources"), F.array_sort(issues).alias("issues"))
-    return scratch.table(out, "evidence")
+    out = scratch.table(out, "evidence")
+    scratch.drop(hits, by_alias)
+    return out

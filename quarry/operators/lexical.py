@@ -6,6 +6,9 @@ keeps of a tile's items leaves it. So what is written grows with lines and items
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from .identifiers import identifier_index
 from .tiles import FLOOR, GRAM_WEIGHT, IDENTIFIED, KEY, TILE_ITEMS, TILE_LINES, TILE_SCHEMA, TOKEN_WEIGHT, TOP, tile
 
 CLOSE = 0.05
+#: Runs of up to so many words are found by a pattern each. Shapes are told apart by so many numbers.
+NEAR, SIEVE = 8, 4096
+LETTERS = string.ascii_letters
 BY = ["tenant", "brand", "stem", "uom"]
 
 
@@ -39,27 +45,45 @@ def pack_families(items: DataFrame) -> DataFrame:
     return items.groupBy(*BY).agg(F.count("*").alias("n"), F.bool_or("bulk").alias("any"), F.count_distinct("packs").alias("kinds")).where("n > 1 and any and kinds > 1").select(*BY)
 
 
-def query_features(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
+def _spans(text: Column, most: int, word: str, gap: str) -> Column:
+    """Runs of up to so many words with what is between them. Patterns find the short ones; those of more words are cut out one by one."""
+    some = [F.regexp_extract_all(text, F.lit(rf"(?U)(?=({word}+(?:{gap}+{word}+){{{k}}})){word}+"), F.lit(1)) for k in range(min(most, NEAR))]
+    if most > NEAR:
+        seg = F.regexp_extract_all(text, F.lit(rf"(?U){word}+|{gap}+"), F.lit(0))
+        first = F.when(F.get(seg, F.lit(0)).rlike(rf"(?U)^{word}"), 0).otherwise(1)
+        run = lambda i, k: F.when((F.pmod(i - first, F.lit(2)) == 0) & (i + 2 * k < F.size(seg)), F.array_join(F.slice(seg, i + 1, 2 * k + 1), ""))
+        some.append(F.flatten(F.transform(F.sequence(F.lit(NEAR), F.lit(most - 1)), lambda k: F.array_compact(F.transform(seg, lambda _, i: run(i, k))))))
+    return F.concat(*some)
+
+
+def _sieve(values: DataFrame, value: str, words: Column) -> tuple[int, Callable[[Column], Column]]:
+    """The most words of a value, and a test that no value fails: by its shape's number, as letters and digits are told apart only
+    from each other. What looks like no value is not looked up; where all numbers occur, everything is."""
+    number = lambda v: F.pmod(F.xxhash64(F.translate(v, LETTERS + "0123456789", "a" * len(LETTERS) + "9" * 10)), F.lit(SIEVE)).cast("int")
+    rows = values.groupBy(number(F.col(value)).alias("n")).agg(F.max(words).alias("words")).collect()
+    seen = [r["n"] for r in rows]
+    return max([1, *(r["words"] for r in rows)]), lambda v: number(v).isin(seen) if seen else F.lit(False)
+
+
+def query_features(scratch: Scratch, lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Lines with the normalised text, attributes of the text without known identifiers, and brands in it."""
     cat = completed(catalogue)
     # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone is
     # one of them, but for marks before and after it. One that is found so and is not there itself is removed from nothing.
     index = identifier_index(cat).select("tenant", "value", F.regexp_extract("value", r"(?Us)\w(?:.*\w)?", 0).alias("run")).distinct().where("run <> ''")
-    longest = index.agg(F.coalesce(F.max(F.regexp_count("value", F.lit(r"(?U)\w+"))), F.lit(1))).first()[0]
-    seg = F.regexp_extract_all("raw_text", F.lit(r"(?U)\w+|\W+"), F.lit(0))
-    first = F.when(F.get(seg, F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1)
-    run = lambda i, k: F.when((F.pmod(i - first, F.lit(2)) == 0) & (i + 2 * k < F.size(seg)), F.array_join(F.slice(seg, i + 1, 2 * k + 1), ""))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max(0, longest - 1))), lambda k: F.array_compact(F.transform(seg, lambda _, i: run(i, k)))))
-    found = lines.select("line_id", "tenant", F.explode(F.array_distinct(spans)).alias("run")).join(index, ["tenant", "run"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
-    brands = cat.where("brand <> ''").select("tenant", X.normalise(F.col("brand")).alias("b")).where("b <> ''").distinct()
-    most = brands.agg(F.coalesce(F.max(F.size(F.split("b", " "))), F.lit(1))).first()[0]
-    q = X.normalise(F.col("raw_text"))
-    base = lines.select("line_id", "tenant", "raw_text", q.alias("query"))
-    w = F.split("query", " ")
-    phrases = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(int(most))), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + k - 1 <= F.size(w)), lambda i: F.array_join(F.slice(w, i, k), " ")))))
-    mentioned = base.select("line_id", "tenant", F.explode(phrases).alias("b")).join(brands, ["tenant", "b"]).groupBy("line_id").agg(F.collect_set("b").alias("mentioned"))
+    index = scratch.table(index, "identifiers")
+    brands = scratch.table(cat.where("brand <> ''").select("tenant", X.normalise(F.col("brand")).alias("b")).where("b <> ''").distinct(), "brands")
+    longest, like_identifier = _sieve(index, "run", F.regexp_count("value", F.lit(r"(?U)\w+")))
+    most, like_brand = _sieve(brands, "b", F.size(F.split("b", " ")))
+    sieved = lambda spans, like: F.array_distinct(F.filter(spans, like))
+    base = lines.select("line_id", "tenant", "raw_text", X.normalise(F.col("raw_text")).alias("query"))
+    base = base.select("*", sieved(_spans(F.col("raw_text"), longest, r"\w", r"\W"), like_identifier).alias("runs"), sieved(_spans(F.col("query"), most, "[^ ]", " "), like_brand).alias("phrases"))
+    base = scratch.table(base, "texts")
+    some = lambda c, name: base.where(F.size(c) > 0).select("line_id", "tenant", F.explode(c).alias(name))
+    found = some("runs", "run").join(index, ["tenant", "run"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
+    mentioned = some("phrases", "b").join(brands, ["tenant", "b"]).groupBy("line_id").agg(F.collect_set("b").alias("mentioned"))
     bare = X.normalise(X.without_words(F.col("raw_text"), F.coalesce("known", _none())))
-    out = base.join(found, "line_id", "left").join(mentioned, "line_id", "left").withColumn("bare", bare)
+    out = base.drop("runs", "phrases").join(found, "line_id", "left").join(mentioned, "line_id", "left").withColumn("bare", bare)
     return out.select("line_id", "tenant", "query", X.attributes(F.col("bare")).alias("requested"), F.coalesce("mentioned", _none()).alias("mentioned"))
 
 
@@ -68,20 +92,21 @@ def _attributes(c: str) -> Column:
     return F.array(*(F.array_join(F.col(c)[k].cast("array<string>"), "|") for k in X.ATTRIBUTES)).alias("attributes")
 
 
-def by_tiles(queries: DataFrame, items: DataFrame) -> DataFrame:
+def by_tiles(scratch: Scratch, queries: DataFrame, items: DataFrame) -> DataFrame:
     """What each line keeps of its tenant's items, as TILE_SCHEMA has it."""
     blocks = lambda rows, most, name: rows.groupBy("tenant").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    sizes = blocks(queries, TILE_LINES, "line_blocks").join(blocks(items, TILE_ITEMS, "item_blocks"), "tenant")
+    # Written, so that Spark knows it to be small before it moves lines or items to it.
+    sizes = scratch.table(blocks(queries, TILE_LINES, "line_blocks").join(blocks(items, TILE_ITEMS, "item_blocks"), "tenant"), "sizes")
     number = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     clean = (F.size("codes") == 1) & (F.size("issues") == 0)
     left = queries.join(sizes, "tenant").select("tenant", number("line_blocks", "line_id").alias("line_block"), each("item_blocks").alias("item_block"), "line_id", "query", _attributes("requested"), "mentioned", "codes", clean.alias("clean"))
-    # A family stays whole, so that its tile knows all siblings.
-    right = items.join(sizes, "tenant").select("tenant", each("line_blocks").alias("line_block"), number("item_blocks", "brand", "stem", "uom").alias("item_block"), "code", "name", _attributes("offered"), "brand", F.when(F.col("packed"), F.struct("brand", "stem", "uom").cast("string")).alias("family"), "bulk")
+    # What may be a family stays whole, so that its tile knows all siblings and whether it is one.
+    right = items.join(sizes, "tenant").select("tenant", each("line_blocks").alias("line_block"), number("item_blocks", "brand", "stem", "uom").alias("item_block"), "code", "name", _attributes("offered"), "brand", F.when(F.col("stem").isNotNull(), F.struct("brand", "stem", "uom").cast("string")).alias("family"), "bulk", "packs")
     # Short rows and long work: dealt out by number, as sizes would put many tiles into one task.
     dealt = lambda rows: rows.repartition(partitions(rows.sparkSession), *KEY).groupBy(*KEY)
-    found = dealt(left).cogroup(dealt(right)).applyInArrow(tile, TILE_SCHEMA)
-    first = F.when(F.size("scores") > 0, F.struct(-F.get("scores", F.lit(0)), F.get("codes", F.lit(0))))
+    found = scratch.table(dealt(left).cogroup(dealt(right)).applyInArrow(tile, TILE_SCHEMA), "tiles")
+    first = F.when(F.size("scores") > 0, F.struct(-F.get("scores", F.lit(0)), F.get("codes", F.lit(0)), "kin", "offers"))
     top = F.flatten(F.collect_list(F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("codes").alias("c"))))
     return found.groupBy("line_id").agg(
         F.transform(F.slice(F.array_sort(top), 1, TOP), lambda t: F.struct(t["c"].alias("code"), (-t["s"]).alias("score"))).alias("top"),
@@ -154,21 +179,25 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
     Prepared items and queries are written once, as several later steps read each.
     """
     prepared = scratch.table(prepared_items(spread(catalogue)), "prepared")
-    items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), BY, "left").withColumn("packed", F.coalesce("packed", F.lit(False)))
-    tenants = catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True))
-    q = query_features(spread(lines), catalogue).join(tenants, "tenant", "left").join(evidence.select("line_id", "codes", "issues"), "line_id", "left")
+    tenants = scratch.table(catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True)), "tenants")
+    q = query_features(scratch, spread(lines), catalogue).join(tenants, "tenant", "left").join(evidence.select("line_id", "codes", "issues"), "line_id", "left")
     early = F.when(F.col("tenant_known").isNull(), "unknown_tenant").when(F.col("query") == "", "empty_text").when(F.col("query").isin(*X.NON_ITEMS), "not_an_item")
     q = scratch.table(q.withColumn("early", early), "queries")
     live = q.where("early is null and codes is not null")
-    per = by_pairs(scratch, live, scratch.table(items, "items")) if exhaustive else by_tiles(live, items)
-    j = q.join(per, "line_id", "left")
+    if exhaustive:
+        items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), BY, "left").withColumn("packed", F.coalesce("packed", F.lit(False)))
+        per = by_pairs(scratch, live, scratch.table(items, "items"))
+    else:
+        per = by_tiles(scratch, live, prepared)
+    asked = F.array(*(F.col("requested")[k].isNotNull() for k in X.ATTRIBUTES)).alias("asked")
+    j = q.select("line_id", "early", "codes", "issues", asked, F.col("query").rlike(X.COMPLEX).alias("complex")).join(per, "line_id", "left")
     j = j.withColumn("top", F.coalesce("top", F.array().cast("array<struct<code:string,score:double>>")))
     score = lambda i: F.get("top", F.lit(i))["score"]
     margin = F.when(F.size("top") > 1, score(0) - score(1)).when(F.size("top") == 1, score(0)).otherwise(F.lit(0.0))
     has = F.size("top") > 0
     text_conflict = F.coalesce("text_conflict", F.lit(False))
     supported = F.coalesce((F.size("codes") == 1) & (F.size("issues") == 0) & (F.get("codes", F.lit(0)) == F.get("top", F.lit(0))["code"]) & ~text_conflict, F.lit(False))
-    missing = [F.when(has & ~supported & F.get("offers", F.lit(i)) & F.col("requested")[k].isNull(), F.lit(f"missing_{k}")) for i, k in enumerate(X.ATTRIBUTES)]
+    missing = [F.when(has & ~supported & F.get("offers", F.lit(i)) & ~F.get("asked", F.lit(i)), F.lit(f"missing_{k}")) for i, k in enumerate(X.ATTRIBUTES)]
     found = F.array_compact(
         F.array(
             F.when(F.col("text_conflict"), "identifier_text_conflict"),
@@ -177,7 +206,7 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
             F.when(F.col("exact") > 1, "ambiguous_exact_names"),
             F.when(~has, "no_candidate_above_floor"),
             F.when(has & (margin < CLOSE), "small_candidate_margin"),
-            F.when(has & F.col("query").rlike(X.COMPLEX), "complex_request"),
+            F.when(has & F.col("complex"), "complex_request"),
             *missing,
         )
     )

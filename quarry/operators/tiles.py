@@ -73,12 +73,24 @@ def _numbers(values: Iterable[Hashable]) -> tuple[np.ndarray, dict]:
     return np.array([-1 if v is None else of.setdefault(v, len(of)) for v in values], np.int64), of
 
 
+def _pack_families(family: Iterable, bulk: Iterable, packs: Iterable) -> tuple[np.ndarray, int]:
+    """Numbers of the families that differ by Bulk and in their packs, -1 for other items, and how many there are."""
+    kinds, with_bulk = {}, set()
+    for f, b, p in zip(family, bulk, packs, strict=True):
+        if p is not None:
+            kinds.setdefault(f, set()).add(p)
+        if b:
+            with_bulk.add(f)
+    of, numbers = _numbers(f if f in with_bulk and len(kinds.get(f, ())) > 1 else None for f in family)
+    return of, len(numbers)
+
+
 class Items:
-    """A tile's items in order of their codes."""
+    """A tile's items in order of their codes; those of one code in an order that does not hang on how they came."""
 
     def __init__(self, t: pa.Table):
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("code", "name", "attributes", "brand", "family", "bulk")), strict=True), key=lambda r: r[0])
-        code, name, attributes, brand, family, bulk = zip(*rows, strict=True) if rows else ((),) * 6
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("code", "name", "attributes", "brand", "family", "bulk", "packs")), strict=True), key=lambda r: (r[0], repr(r)))
+        code, name, attributes, brand, family, bulk, packs = zip(*rows, strict=True) if rows else ((),) * 7
         self.code, self.size = code, len(code)
         self.code_of, self.codes = _numbers(code)
         self.of_code: dict[str, list[int]] = {}
@@ -90,9 +102,8 @@ class Items:
         self.attributes = [_numbers(c) for c in columns]
         self.offers = [[v is not None for v in a] for a in attributes]
         self.bulk = np.array(bulk, bool)
-        self.family_of, families = _numbers(family)
+        self.family_of, self.families = _pack_families(family, bulk, packs)
         self.packed = self.family_of >= 0
-        self.families = len(families)
         self.any_bulk, self.any_other = (self._families(self.packed & b) for b in (self.bulk, ~self.bulk))
         texts = list(self.names)
         self.words, self.grams = Postings(texts, _words), Postings(texts, _trigrams)

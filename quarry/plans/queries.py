@@ -107,14 +107,16 @@ def previous_days(spark, sf):
 
 
 def _evidence(spark, sf, s=None, cold=False):
-    s = s or Scratch(spark, "match")
+    s = s or Scratch(spark, "match", frees=True)
     return identifiers.retrieve_identifiers(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), None if cold else load(spark, sf, "aliases"))
 
 
 def _retrieval(spark, sf):
-    s = Scratch(spark, "match")
+    s = Scratch(spark, "match", frees=True)
     evidence = _evidence(spark, sf, s)
-    return s.table(lexical.retrieve(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), evidence), "retrieval"), evidence
+    retrieval = s.table(lexical.retrieve(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), evidence), "retrieval")
+    s.keep(retrieval, evidence)
+    return retrieval, evidence
 
 
 @query
@@ -214,14 +216,14 @@ def match_decisions(spark, sf):
 @query
 def match_contract(spark, sf):
     """Rules of the result contract, and rows that break them: decisions as they are (none), then with faults put in."""
-    s = Scratch(spark, "contract")
+    s = Scratch(spark, "contract", frees=True)
     results = s.table(decision.decide(*_retrieval(spark, sf), load(spark, sf, "policy")).drop("bucket"), "results")
     k = F.substring("line_id", 2, 7).cast("int") % 11
     put = lambda n, c, value: F.when(k == n, value).otherwise(F.col(c)).alias(c)
     code = F.when((k == 3) & (F.col("decision") == "auto"), "").when((k == 4) & (F.col("decision") == "auto"), "NONE").otherwise(F.col("item_code")).alias("item_code")
     faulty = results.select("line_id", code, put(0, "confidence", F.lit(1.5)), put(1, "decision", F.lit("maybe")), put(2, "reason_code", F.lit("Not ok")), put(5, "candidates", F.concat("candidates", "candidates")))
     lines, catalogue = load(spark, sf, "lines"), load(spark, sf, "catalogue")
-    broken = lambda r, kind: decision.violations(r, lines, catalogue).select(F.lit(kind).alias("results"), F.explode("broken").alias("rule"))
+    broken = lambda r, kind: s.table(decision.violations(r, lines, catalogue), kind).select(F.lit(kind).alias("results"), F.explode("broken").alias("rule"))
     return broken(results, "decided").unionByName(broken(faulty, "faulty")).groupBy("results", "rule").agg(F.count("*").alias("broken_rows"))
 
 

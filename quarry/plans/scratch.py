@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: Spark's setting, read at each write, by which the shuffle files of a query are removed at its end.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +50,9 @@ def spread(df: DataFrame) -> DataFrame:
 class Scratch:
     """A folder of intermediate tables; a lost executor costs no earlier step."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, frees: bool = False):
+        """frees: the shuffle files that a table is made from go once it is written, rather than when the driver next collects garbage."""
+        self.frees = frees
         self.spark, self.base = spark, f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
@@ -57,11 +63,29 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", compression).parquet(path)
+        with self._freeing():
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    @contextmanager
+    def _freeing(self) -> Iterator[None]:
+        before = self.spark.conf.get(FREED, None)
+        if self.frees:
+            self.spark.conf.set(FREED, "true")
+        try:
+            yield
+        finally:
+            if self.frees:
+                self.spark.conf.unset(FREED) if before is None else self.spark.conf.set(FREED, before)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all others; as for drop(), nothing that is still to be written may read them."""
+        kept = {id(t) for t in tables}
+        for k in [k for k in self.paths if k not in kept]:
+            remove(self.spark, self.paths.pop(k))
+
     def drop(self, *tables: DataFrame) -> None:
         """Only for tables from which everything that reads them has been written."""
         for t in tables:
