@@ -65,8 +65,10 @@ def _sieve(values: DataFrame, value: str, words: Column) -> tuple[int, Callable[
     return max([1, *(r["words"] for r in rows)]), lambda v: number(v).isin(seen) if seen else F.lit(False)
 
 
-def query_features(scratch: Scratch, lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Lines with the normalised text, attributes of the text without known identifiers, and brands in it."""
+def query_features(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, sources: list[DataFrame] | None = None) -> DataFrame:
+    """Lines with the normalised text, attributes of the text without known identifiers, and brands in it.
+
+    sources: gets the tables that these are read from, which may go once they are written."""
     cat = completed(catalogue)
     # Runs of words with what is between them, as many as the longest identifier has: any identifier that stands alone is
     # one of them, but for marks before and after it. One that is found so and is not there itself is removed from nothing.
@@ -79,6 +81,8 @@ def query_features(scratch: Scratch, lines: DataFrame, catalogue: DataFrame) ->
     base = lines.select("line_id", "tenant", "raw_text", X.normalise(F.col("raw_text")).alias("query"))
     base = base.select("*", sieved(_spans(F.col("raw_text"), longest, r"\w", r"\W"), like_identifier).alias("runs"), sieved(_spans(F.col("query"), most, "[^ ]", " "), like_brand).alias("phrases"))
     base = scratch.table(base, "texts")
+    if sources is not None:
+        sources += [base, index, brands]
     some = lambda c, name: base.where(F.size(c) > 0).select("line_id", "tenant", F.explode(c).alias(name))
     found = some("runs", "run").join(index, ["tenant", "run"]).groupBy("line_id").agg(F.collect_set("value").alias("known"))
     mentioned = some("phrases", "b").join(brands, ["tenant", "b"]).groupBy("line_id").agg(F.collect_set("b").alias("mentioned"))
@@ -174,23 +178,26 @@ def by_pairs(scratch: Scratch, queries: DataFrame, items: DataFrame) -> DataFram
 
 
 def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence: DataFrame, exhaustive: bool = False) -> DataFrame:
-    """Per line: candidates (up to three of code and score), issues, exact_unique and margin.
+    """Per line: candidates (up to three of code and score), issues, exact_unique and margin; its tenant, and the evidence's codes.
 
     Prepared items and queries are written once, as several later steps read each.
     """
     prepared = scratch.table(prepared_items(spread(catalogue)), "prepared")
     tenants = scratch.table(catalogue.select("tenant").distinct().withColumn("tenant_known", F.lit(True)), "tenants")
-    q = query_features(scratch, spread(lines), catalogue).join(tenants, "tenant", "left").join(evidence.select("line_id", "codes", "issues"), "line_id", "left")
+    sources: list[DataFrame] = []
+    q = query_features(scratch, spread(lines), catalogue, sources).join(tenants, "tenant", "left").join(evidence.select("line_id", "codes", "issues"), "line_id", "left")
     early = F.when(F.col("tenant_known").isNull(), "unknown_tenant").when(F.col("query") == "", "empty_text").when(F.col("query").isin(*X.NON_ITEMS), "not_an_item")
     q = scratch.table(q.withColumn("early", early), "queries")
+    scratch.drop(*sources)
     live = q.where("early is null and codes is not null")
     if exhaustive:
         items = prepared.join(pack_families(prepared).withColumn("packed", F.lit(True)), BY, "left").withColumn("packed", F.coalesce("packed", F.lit(False)))
         per = by_pairs(scratch, live, scratch.table(items, "items"))
     else:
         per = by_tiles(scratch, live, prepared)
+        scratch.drop(prepared)  # the tiles are written
     asked = F.array(*(F.col("requested")[k].isNotNull() for k in X.ATTRIBUTES)).alias("asked")
-    j = q.select("line_id", "early", "codes", "issues", asked, F.col("query").rlike(X.COMPLEX).alias("complex")).join(per, "line_id", "left")
+    j = q.select("line_id", "tenant", "early", "codes", "issues", asked, F.col("query").rlike(X.COMPLEX).alias("complex")).join(per, "line_id", "left")
     j = j.withColumn("top", F.coalesce("top", F.array().cast("array<struct<code:string,score:double>>")))
     score = lambda i: F.get("top", F.lit(i))["score"]
     margin = F.when(F.size("top") > 1, score(0) - score(1)).when(F.size("top") == 1, score(0)).otherwise(F.lit(0.0))
@@ -213,6 +220,8 @@ def retrieve(scratch: Scratch, lines: DataFrame, catalogue: DataFrame, evidence:
     issues = F.when(F.col("early").isNotNull(), F.array("early")).otherwise(F.array_sort(F.array_distinct(F.concat(found, F.col("issues")))))
     return j.select(
         "line_id",
+        "tenant",
+        "codes",
         F.col("top").alias("candidates"),
         issues.alias("issues"),
         (F.col("early").isNull() & (F.coalesce("exact", F.lit(0)) == 1)).alias("exact_unique"),

@@ -49,7 +49,7 @@ def evaluated(spark: SparkSession, folder: str, train_path: str, cold_start: boo
     parts = files.read_split(spark, split_path) if split_path else split.build_split(s, labelled)
     if split_path and not parts.select("line_id").exceptAll(labelled.select("line_id")).unionByName(labelled.select("line_id").exceptAll(parts.select("line_id"))).isEmpty():
         raise ValueError("the split is of other lines")
-    rows = retrieval.join(evidence.select("line_id", "codes"), "line_id").withColumn("bucket", decision.bucket())
+    rows = retrieval.drop("tenant").where("codes is not null").withColumn("bucket", decision.bucket())
     return s.table(rows.join(labelled.select("line_id", "label"), "line_id").join(parts, "line_id"), "evaluated"), labelled
 
 

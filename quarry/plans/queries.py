@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Text days and months all lie between.
 EVER = ("0000", "9999")
+#: Parts, by tenant, in which match_contract checks results.
+CONTRACT_PARTS = 4
 
 
 def query(f: Query) -> Query:
@@ -111,12 +114,11 @@ def _evidence(spark, sf, s=None, cold=False):
     return identifiers.retrieve_identifiers(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), None if cold else load(spark, sf, "aliases"))
 
 
-def _retrieval(spark, sf):
-    s = Scratch(spark, "match", frees=True)
-    evidence = _evidence(spark, sf, s)
-    retrieval = s.table(lexical.retrieve(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), evidence), "retrieval")
-    s.keep(retrieval, evidence)
-    return retrieval, evidence
+def _retrieval(spark, sf, s=None):
+    s = s or Scratch(spark, "match", frees=True)
+    retrieval = s.table(lexical.retrieve(s, load(spark, sf, "lines"), load(spark, sf, "catalogue"), _evidence(spark, sf, s)), "retrieval")
+    s.keep(retrieval)
+    return retrieval
 
 
 @query
@@ -198,50 +200,53 @@ def pack_families(spark, sf):
 @query
 def lexical_candidates(spark, sf):
     """Up to three candidates of each line."""
-    r, _ = _retrieval(spark, sf)
-    return r.select("line_id", F.posexplode("candidates").alias("rank", "c")).select("line_id", (F.col("rank") + 1).alias("rank"), "c.code", F.round("c.score", 6).alias("score"))
+    return _retrieval(spark, sf).select("line_id", F.posexplode("candidates").alias("rank", "c")).select("line_id", (F.col("rank") + 1).alias("rank"), "c.code", F.round("c.score", 6).alias("score"))
 
 
 @query
 def lexical_issues(spark, sf):
-    return _joined(_retrieval(spark, sf)[0], "issues").select("line_id", "issues", "exact_unique")
+    return _joined(_retrieval(spark, sf), "issues").select("line_id", "issues", "exact_unique")
 
 
 @query
 def match_decisions(spark, sf):
     """The matcher from lines to decisions."""
-    return decision.decide(*_retrieval(spark, sf), load(spark, sf, "policy")).drop("candidates")
+    return decision.decide(_retrieval(spark, sf), None, load(spark, sf, "policy")).drop("candidates")
 
 
 @query
 def match_contract(spark, sf):
     """Rules of the result contract, and rows that break them: decisions as they are (none), then with faults put in."""
     s = Scratch(spark, "contract", frees=True)
-    results = s.table(decision.decide(*_retrieval(spark, sf), load(spark, sf, "policy")).drop("bucket"), "results")
+    results = s.table(decision.decide(_retrieval(spark, sf, s), None, load(spark, sf, "policy"), keep=["tenant"]).drop("bucket"), "results")
+    s.keep(results)
     k = F.substring("line_id", 2, 7).cast("int") % 11
     put = lambda n, c, value: F.when(k == n, value).otherwise(F.col(c)).alias(c)
     code = F.when((k == 3) & (F.col("decision") == "auto"), "").when((k == 4) & (F.col("decision") == "auto"), "NONE").otherwise(F.col("item_code")).alias("item_code")
-    faulty = results.select("line_id", code, put(0, "confidence", F.lit(1.5)), put(1, "decision", F.lit("maybe")), put(2, "reason_code", F.lit("Not ok")), put(5, "candidates", F.concat("candidates", "candidates")))
-    lines, catalogue = load(spark, sf, "lines"), load(spark, sf, "catalogue")
-    broken = lambda r, kind: s.table(decision.violations(r, lines, catalogue), kind).select(F.lit(kind).alias("results"), F.explode("broken").alias("rule"))
-    return broken(results, "decided").unionByName(broken(faulty, "faulty")).groupBy("results", "rule").agg(F.count("*").alias("broken_rows"))
+    faulty = results.select("line_id", "tenant", code, put(0, "confidence", F.lit(1.5)), put(1, "decision", F.lit("maybe")), put(2, "reason_code", F.lit("Not ok")), put(5, "candidates", F.concat("candidates", "candidates")))
+    catalogue = load(spark, sf, "catalogue")
+    # Some tenants at a time, each part written before the next, so that disk holds the shuffle of one.
+    part = lambda rows, p: rows.where(F.pmod(F.xxhash64("tenant"), F.lit(CONTRACT_PARTS)) == p)
+    broken = lambda r, kind, p: s.table(decision.violations(part(r, p), None, part(catalogue, p)), f"{kind}-{p}").select(F.lit(kind).alias("results"), F.explode("broken").alias("rule"))
+    each = [broken(r, kind, p) for r, kind in ((results, "decided"), (faulty, "faulty")) for p in range(CONTRACT_PARTS)]
+    return reduce(DataFrame.unionByName, each).groupBy("results", "rule").agg(F.count("*").alias("broken_rows"))
 
 
 @query
 def predictions(spark, sf):
     """Decisions as the prediction file has them."""
-    return files.formatted_predictions(decision.decide(*_retrieval(spark, sf), load(spark, sf, "policy")))
+    return files.formatted_predictions(decision.decide(_retrieval(spark, sf), None, load(spark, sf, "policy")))
 
 
 @query
 def proposal_curve(spark, sf):
-    return evaluation.proposal_curve(_retrieval(spark, sf)[0].join(load(spark, sf, "labels_of_lines"), "line_id")).drop("precision")
+    return evaluation.proposal_curve(_retrieval(spark, sf).join(load(spark, sf, "labels_of_lines"), "line_id")).drop("precision")
 
 
 @query
 def review_queue(spark, sf):
     """The first 20 lines whose best candidate is wrong."""
-    r = _retrieval(spark, sf)[0].join(load(spark, sf, "labels_of_lines"), "line_id").withColumn("position", F.col("line_id"))
+    r = _retrieval(spark, sf).join(load(spark, sf, "labels_of_lines"), "line_id").withColumn("position", F.col("line_id"))
     return evaluation.review_queue(r).select("line_id", "label")
 
 
