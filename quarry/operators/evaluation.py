@@ -84,12 +84,18 @@ def threshold_curve(records: DataFrame, thresholds: Sequence[float] = THRESHOLDS
     return summarise(each.withColumn("item_code", F.when(back, "").otherwise(F.col("item_code"))).withColumn("decision", F.when(back, "review").otherwise(F.col("decision"))), ("threshold",))
 
 
-def proposal_curve(retrievals: DataFrame, thresholds: Sequence[float] = PROPOSALS, close: float = 0.05) -> DataFrame:
-    """At each score: how many lines without issues and with a clear margin would be proposed, and how many rightly."""
-    each = retrievals.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+def proposal_curve(retrievals: DataFrame, thresholds: Sequence[float] = PROPOSALS, close: float = 0.05, labels: DataFrame | None = None) -> DataFrame:
+    """At each score: how many lines without issues and with a clear margin would be proposed, and how many rightly.
+
+    labels: (line_id, label), where the retrievals have none; a line meets its label with no more than what it would propose.
+    """
     first = F.get("candidates", F.lit(0))
-    go = (F.size("candidates") > 0) & (F.size("issues") == 0) & F.coalesce(first["score"] >= F.col("threshold"), F.lit(False)) & (F.col("margin") >= close)
-    right = go & F.coalesce(first["code"] == F.col("label"), F.lit(False))
+    fit = (F.size("candidates") > 0) & (F.size("issues") == 0) & (F.col("margin") >= close)
+    some = [F.when(fit, first[c]).alias(c) for c in ("code", "score")]
+    lines = retrievals.select("label", *some) if labels is None else retrievals.select("line_id", *some).join(labels.select("line_id", "label"), "line_id")
+    each = lines.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    go = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+    right = go & F.coalesce(F.col("code") == F.col("label"), F.lit(False))
     return each.groupBy("threshold").agg(F.count_if(go).alias("proposed"), F.count_if(right).alias("correct")).withColumn("precision", ratio(F.col("correct"), F.col("proposed")))
 
 

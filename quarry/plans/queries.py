@@ -240,7 +240,7 @@ def predictions(spark, sf):
 
 @query
 def proposal_curve(spark, sf):
-    return evaluation.proposal_curve(_retrieval(spark, sf).join(load(spark, sf, "labels_of_lines"), "line_id")).drop("precision")
+    return evaluation.proposal_curve(_retrieval(spark, sf), labels=load(spark, sf, "labels_of_lines")).drop("precision")
 
 
 @query

@@ -208,6 +208,15 @@ def test_decisions_move_no_line(spark, no_broadcast):
     assert [(x["line_id"], x["item_code"]) for x in rows(out)] == [("L0", "A")]
 
 
+def test_proposals_meet_labels_without_candidates(spark, no_broadcast):
+    r = spark.createDataFrame([("L0", "t", [], [("A", 0.9), ("B", 0.7)], [], True, 0.2), ("L1", "t", [], [("A", 0.9)], ["x"], True, 0.9), ("L2", "t", [], [("A", 1.0)], [], True, 0.01), ("L3", "t", [], [("A", 0.8)], [], True, 0.8), ("L4", "t", [], [], [], False, 0.0)], RETRIEVAL)
+    labels = spark.createDataFrame([(f"L{i}", x) for i, x in enumerate(("A", "A", "A", "B", ""))], "line_id string, label string")
+    got = evaluation.proposal_curve(r, labels=labels)
+    assert exchanges(got) and not any("candidates" in x or "issues" in x for x in exchanges(got))
+    assert [(x["threshold"], x["proposed"], x["correct"]) for x in rows(got, "threshold")] == [(0.6, 2, 1), (0.7, 2, 1), (0.8, 2, 1), (0.85, 1, 1), (0.9, 1, 1), (0.95, 0, 0), (1.0, 0, 0)]
+    assert rows(evaluation.proposal_curve(r.join(labels, "line_id")), "threshold") == rows(got, "threshold")
+
+
 def test_contract_in_parts(spark, monkeypatch):
     sizes = []
     violations = decision.violations
