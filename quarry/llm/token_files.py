@@ -38,6 +38,8 @@ SLOTS = 1024
 RUNS = 8
 #: Where all ids are below this, a table tells their places in the alphabet.
 TABLED = 1 << 18
+#: Words of one generation of the memory that encodes texts: what is made again costs more here than the memory does.
+MEMO_WORDS = 700_000
 MIX_BITS = 22
 GAIN = 24
 WHOLE = 1 << MIX_BITS
@@ -167,10 +169,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             m.predict(k)
             x = xt[t, :k]
             start, width = m.order0(m.at0[:k] + x, m.each, m.past)
+            # By sums rather than by choices, which cost several times as much. An id in both shares has no share w1, so
+            # only one of hit1 and hit2 is 1. A share of 0 hits nothing.
             hit1, hit2 = (m.p1 == x) & (m.w1 > 0), (m.p2 == x) & (m.w2 > 0)
-            start, width = np.where(hit1, m.w2, start), np.where(hit1, m.w1, width)
-            start *= (~hit2).astype(np.int32)
-            width = np.where(hit2, m.w2, width)
+            miss = (~(hit1 | hit2)).astype(np.int32)
+            hit1, hit2 = hit1.astype(np.int32), hit2.astype(np.int32)
+            start *= miss
+            start += m.w2 * hit1
+            width *= miss
+            hit1 *= m.w1
+            width += hit1
+            hit2 *= m.w2
+            width += hit2
             r = np.floor(rng[:k] * 2.0**-MIX_BITS)
             low[:k] += r * start.astype(np.float64)
             r *= width.astype(np.float64)
@@ -208,8 +218,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             rows[j - 1] += rows[j] >> 16
         codes = np.ascontiguousarray(rows[: int(used.max())].astype("<u2").T)
         for r, i in enumerate(own):
-            gaps = np.diff(alphabets[r], prepend=alphabets[r].dtype.type(0))
-            head = zlib.compress(gaps.astype("<u2" if int(gaps.max()) < 1 << 16 else "<u4").tobytes(), 1)
+            gaps = alphabets[r].copy()
+            gaps[1:] -= alphabets[r][:-1]
+            # A window no wider than most alphabets: a wide one takes longer to make than to fill.
+            z = zlib.compressobj(1, zlib.DEFLATED, 11, 4)
+            head = z.compress(gaps.astype("<u2" if int(gaps.max()) < 1 << 16 else "<u4").tobytes()) + z.flush()
             code = codes[r, : used[r]].tobytes()
             out[i] = struct.pack(HEAD, lens[r], len(alphabets[r]), len(head), len(code), zlib.crc32(code, zlib.crc32(head))) + head + code
     return out
@@ -247,8 +260,15 @@ def decode_blocks(parts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray
             r = np.floor(rng[:k] * 2.0**-MIX_BITS)
             v = (above[:k] / r).astype(np.int32)
             hit2 = v < m.w2
-            x, width = np.where(hit2, m.p2, m.p1), np.where(hit2, m.w2, m.w1)
-            start = m.w2 * (~hit2).astype(np.int32)
+            one = hit2.astype(np.int32)
+            width = m.w2 - m.w1
+            width *= one
+            width += m.w1
+            x = m.p2 - m.p1
+            x *= hit2.astype(np.int16)
+            x += m.p1
+            start = one ^ 1
+            start *= m.w2
             # Order 0: the last place whose cumulative count is not above what v says.
             q = (v >= m.past).nonzero()[0]
             past, each, base = m.past.take(q, mode="clip"), m.each.take(q, mode="clip"), m.at0.take(q, mode="clip")
@@ -357,6 +377,7 @@ def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: s
 
         keys, lens = [], []
         enc = encoder(path)
+        enc.memo.most = MEMO_WORDS
 
         def ids():
             for b in batches:

@@ -31,9 +31,10 @@ def tokenizer_digest(path: str) -> str:
 
 
 class Memo:
-    """Ids of words, both as bytes: of those of the last generation, and of the new ones."""
+    """Ids of words, both as bytes: of those of the last generation, and of the new ones. most: words of a generation, if not MEMO_WORDS."""
 
-    def __init__(self):
+    def __init__(self, most: int | None = None):
+        self.most = most
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -48,7 +49,7 @@ class Memo:
             for i, x in zip(missing, learn([words[i] for i in missing])):
                 found[i] = x
         self.now.update((words[i], found[i]) for i in lost)
-        if len(self.now) > MEMO_WORDS:
+        if len(self.now) > (self.most or MEMO_WORDS):
             self.before, self.now = self.now, {}
         return found
 

@@ -40,6 +40,23 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
         assert np.frombuffer(enc.ids([t or ""])[0], "<u4").tolist() == ids_of(t)
 
 
+def test_memo_of_another_size(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 2)
+    asked = []
+    learn = lambda words: asked.extend(words) or list(words)
+    memo = tokens.Memo(100)
+    for _ in range(3):
+        assert memo.get([b"a", b"b", b"c", b"d"], learn) == [b"a", b"b", b"c", b"d"]
+    assert asked == [b"a", b"b", b"c", b"d"] and not memo.before
+
+
+def test_heads_are_small_and_read_by_any_window():
+    block = np.arange(0, 2048 * 20, 20, dtype=np.uint32)
+    n, a, head, code = split(token_files.encode_blocks([block])[0])
+    assert head[0] >> 4 <= 3  # a window of 2,048 bytes, made anew for each block
+    assert np.cumsum(np.frombuffer(zlib.decompress(head), "<u2")).tolist() == block.tolist()
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_other_tokenizers(name):
     path = tokens.tokenizer_path(name)
