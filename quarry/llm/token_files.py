@@ -35,11 +35,15 @@ LANES = 4096
 #: Places in a block at which order 0's cumulative counts are renewed.
 RENEW = frozenset((32, 64, 128, 192, 256, 384, 512, 768, 1024, 1536))
 SLOTS = 1024
+#: Lanes whose ids are turned into columns, or back, at once.
+TURN = 64
+#: Every so many cumulative counts one stands in a small table, where looking for a count begins.
+COARSE = 32
 RUNS = 8
 #: Where all ids are below this, a table tells their places in the alphabet.
 TABLED = 1 << 18
 #: Words of one generation of the memory that encodes texts: what is made again costs more here than the memory does.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 480_000
 MIX_BITS = 22
 GAIN = 24
 WHOLE = 1 << MIX_BITS
@@ -50,59 +54,68 @@ TOP, FULL = 2.0**32, 2.0**48 - 1
 class _Model:
     """The state of some lanes; ids are places in each block's alphabet.
 
-    Arrays of one kind meet each other without conversions, which cost numpy more than the sums themselves. Counts stay
-    below 2**16: BLOCK * GAIN, and one for each id. Places are always within their arrays, so that looking them up need not
-    check it (mode="clip"). seen1 and seen2 hold a predicted place times RUNS, and its run.
+    Arrays of two rows are of order 1, then of order 2; what is done to both is done once. Arrays of one kind meet each
+    other without conversions, which cost numpy more than the sums themselves. Counts stay below 2**16: BLOCK * GAIN, and
+    one for each id. Places are always within their arrays, so that looking them up need not check it (mode="clip"). seen
+    holds a predicted place times RUNS, and its run.
     """
 
     def __init__(self, sizes: np.ndarray):
         n = len(sizes)
         self.wide = 1 << int(sizes.max()).bit_length()
         row = np.arange(n, dtype=np.int64)
-        self.at0, self.at2, self.at_run = row * self.wide, row * SLOTS, row * RUNS
+        self.at0, self.base = row * self.wide, np.stack([row * self.wide, n * self.wide + row * SLOTS])
+        self.at_run = np.arange(2 * n).reshape(2, n) * RUNS
         self.count = (np.arange(self.wide)[None] < sizes[:, None]).astype(np.uint16)
         self.cum = np.zeros((n, self.wide), np.uint16)
-        self.seen1 = np.full(n * self.wide, -RUNS, np.int16)
-        self.seen2 = np.full(n * SLOTS, -RUNS, np.int16)
+        self.seen = np.full(n * (self.wide + SLOTS), -RUNS, np.int16)
         # Run 0 stands for no prediction; its rate stays 0.
         rates = lambda a, b: np.tile(np.concatenate([[0], np.linspace(a, b, RUNS - 1)]).astype(np.int32), n)
-        self.rate1, self.rate2 = rates(6000, 48000), rates(9000, 56000)
-        self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.renew(n)
+        self.rate = np.concatenate([rates(6000, 48000), rates(9000, 56000)])
+        # The last id, and what the next one's place in seen hangs on in order 2. Sums are modulo 2**16.
+        self.last, self.x2 = np.zeros((2, n), np.uint16), np.zeros(n, np.uint16)
+        self.renew()
 
-    def renew(self, k: int, ids: np.ndarray | None = None) -> None:
+    def narrow(self, k: int) -> None:
+        """Goes on with the first k lanes."""
+        for name in ("at0", "base", "at_run", "last", "x2", "total"):
+            setattr(self, name, np.ascontiguousarray(getattr(self, name)[..., :k]))
+
+    def renew(self, ids: np.ndarray | None = None) -> None:
         """Takes in the ids since the last time, a row for each step."""
         if ids is not None:
-            np.add.at(self.count.ravel(), (ids + self.at0[:k]).ravel(), np.uint16(GAIN))
+            np.add.at(self.count.ravel(), (ids + self.at0).ravel(), np.uint16(GAIN))
+        k = len(self.at0)
         np.cumsum(self.count[:k, :-1], axis=1, dtype=np.uint16, out=self.cum[:k, 1:])
-        self.flat, self.total = self.cum.ravel(), self.cum[:, -1].astype(np.float64)
-
-    def predict(self, k: int) -> None:
-        """Predictions of the first k lanes, and the shares w2 and w1; the rest of WHOLE is order 0's, `each` for each count."""
-        self.i1 = self.at0[:k] + self.x1[:k]
-        i2 = self.x1[:k] * 2654435
-        i2 += self.x2[:k]
-        i2 >>= 3
-        i2 &= SLOTS - 1
-        i2 += self.at2[:k]
-        self.i2 = i2
-        seen1, seen2 = self.seen1.take(self.i1, mode="clip"), self.seen2.take(i2, mode="clip")
-        self.p1, self.p2, self.run1, self.run2 = seen1 >> 3, seen2 >> 3, seen1 & 7, seen2 & 7
-        self.j1, self.j2 = self.run1.astype(np.int64), self.run2.astype(np.int64)
-        self.j1 += self.at_run[:k]
-        self.j2 += self.at_run[:k]
-        self.old1, self.old2 = self.rate1.take(self.j1, mode="clip"), self.rate2.take(self.j2, mode="clip")
-        w2 = self.old2 * ((WHOLE - (WHOLE >> 3)) >> 16)
-        w1 = (WHOLE - (WHOLE >> 4)) - w2
+        self.flat, self.total = self.cum.ravel(), self.cum[:k, -1].astype(np.float64)
+        self.coarse = self.cum[:k, ::COARSE].ravel()
+
+    def predict(self) -> None:
+        """Predictions, and the shares w of orders 1 and 2; the rest of WHOLE is order 0's, `each` for each count."""
+        h = np.multiply(self.last[0], ORDER2, out=self.last[1])
+        h += self.x2
+        h >>= THREE
+        h &= SLOT
+        self.i = self.last.astype(np.int64)
+        self.i += self.base
+        seen = self.seen.take(self.i, mode="clip")
+        self.p, self.run = seen >> THREE_, seen & SEVEN
+        self.j = self.run.astype(np.int64)
+        self.j += self.at_run
+        self.old = self.rate.take(self.j, mode="clip")
+        w = np.empty_like(self.old)
+        w1, w2 = w
+        np.multiply(self.old[1], (WHOLE - (WHOLE >> 3)) >> 16, out=w2)
+        np.subtract(WHOLE - (WHOLE >> 4), w2, out=w1)
         w1 >>= 4
-        w1 *= self.old1 >> 4
+        w1 *= self.old[0] >> 4
         w1 >>= 8
-        both = (self.p1 == self.p2).astype(np.int32)
+        self.w, self.past = w, w1 + w2
+        both = (self.p[0] == self.p[1]).astype(np.int32)
         both *= w1
         w2 += both
         w1 -= both
-        self.w1, self.w2, self.past = w1, w2, w1 + w2
-        self.each = ((WHOLE - self.past) / self.total[:k]).astype(np.int32)
+        self.each = ((WHOLE - self.past) / self.total).astype(np.int32)
 
     def order0(self, at: np.ndarray, each: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width in order 0's share. at: the ids' places in flat."""
@@ -113,24 +126,47 @@ class _Model:
         start += past
         return start, width
 
-    def learn(self, x: np.ndarray, k: int) -> None:
-        fresh = x * np.int16(RUNS)
-        fresh += 1
-        for p, run, i, seen, old, j, rate in ((self.p1, self.run1, self.i1, self.seen1, self.old1, self.j1, self.rate1), (self.p2, self.run2, self.i2, self.seen2, self.old2, self.j2, self.rate2)):
-            hit = p == x
-            np.minimum(run, RUNS - 2, out=run)
-            run *= hit.astype(np.int16)
-            run += fresh
-            seen[i] = run
-            new = hit.astype(np.int32)
-            new *= 65000
-            new -= old
-            new >>= 5
-            new += old
-            rate[j] = new
-        np.multiply(self.x1[:k], 40503, out=self.x2[:k])
-        self.x1[:k] = x
-
+    def last_below(self, most: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """For some lanes, by where they begin in flat: where the last cumulative count stands that is not above most."""
+        each = max(1, self.wide // COARSE)
+        c = base // self.wide * each
+        for half in _halves(each):
+            up = (self.coarse.take(c + half, mode="clip") <= most).astype(np.int64)
+            up *= half
+            c += up
+        a = c * min(COARSE, self.wide)
+        for half in _halves(min(COARSE, self.wide)):
+            up = (self.flat.take(a + half, mode="clip") <= most).astype(np.int64)
+            up *= half
+            a += up
+        return a
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """hit: which orders predicted x."""
+        run = np.minimum(self.run, MOST, out=self.run)
+        run *= hit.astype(np.int16)
+        fresh = x << THREE_
+        fresh += ONE
+        run += fresh
+        self.seen[self.i.reshape(-1)] = run.reshape(-1)
+        new = hit.astype(np.int32)
+        new *= 65000
+        new -= self.old
+        new >>= 5
+        new += self.old
+        self.rate[self.j.reshape(-1)] = new.reshape(-1)
+        np.multiply(self.last[0], ORDER2_BEFORE, out=self.x2)
+        self.last[0] = x
+
+
+def _halves(n: int) -> list[int]:
+    """n / 2, n / 4, ..., 1, for a power of two."""
+    return [n >> k for k in range(1, n.bit_length())]
+
+
+#: Numbers as arrays: numpy takes longer to turn them into such than to sum some lanes.
+ORDER2, ORDER2_BEFORE, THREE, SLOT = np.array([2654435 % (1 << 16), 40503, 3, SLOTS - 1], np.uint16)[:, None]
+THREE_, SEVEN, MOST, ONE = np.array([3, RUNS - 1, RUNS - 2, 1], np.int16)[:, None]
 
 assert RUNS == 8 and BLOCK * RUNS < 1 << 15 and BLOCK * (GAIN + 1) < 1 << 16
 
@@ -142,45 +178,47 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
         n, lens = len(own), np.array([len(blocks[i]) for i in own])
-        alphabets, places = [], np.zeros((n, lens[0]), np.int16)
+        # Lanes are turned into columns some at a time, so that what is read and what is written stays near.
+        alphabets, places, xt = [], np.zeros((TURN, lens[0]), np.int16), np.zeros((lens[0], n), np.int16)
         most = max(int(blocks[i].max()) for i in own) + 1
         where = np.zeros(most, np.int16) if most <= TABLED else None
         for r, i in enumerate(own):
             x = np.sort(blocks[i])
             alphabet = x[np.concatenate([[True], x[1:] != x[:-1]])]
             if where is None:
-                places[r, : lens[r]] = np.searchsorted(alphabet, blocks[i])
+                places[r % TURN, : lens[r]] = np.searchsorted(alphabet, blocks[i])
             else:
                 where[alphabet] = np.arange(len(alphabet))
-                places[r, : lens[r]] = where[blocks[i]]
+                places[r % TURN, : lens[r]] = where[blocks[i]]
             alphabets.append(alphabet)
-        xt = np.ascontiguousarray(places.T)
+            if r % TURN == TURN - 1 or r == n - 1:
+                xt[:, r - r % TURN : r + 1] = places[: r % TURN + 1].T
         m = _Model(np.array([len(a) for a in alphabets]))
         low, rng = np.zeros(n), np.full(n, FULL)
         # A row holds a word of every lane; bit 16 of a word is a carry into the one before.
         words, at = np.zeros((int(lens[0]) * 21 // 16 + 8) * n, np.uint32), np.arange(n, dtype=np.int64)
         k, last = n, 0
         for t in range(lens[0]):
-            while lens[k - 1] <= t:
-                k -= 1
+            if lens[k - 1] <= t:
+                k = int((lens > t).sum())
+                m.narrow(k)
             if t in RENEW:
-                m.renew(k, xt[last:t, :k])
+                m.renew(xt[last:t, :k])
                 last = t
-            m.predict(k)
+            m.predict()
             x = xt[t, :k]
-            start, width = m.order0(m.at0[:k] + x, m.each, m.past)
+            start, width = m.order0(m.at0 + x, m.each, m.past)
             # By sums rather than by choices, which cost several times as much. An id in both shares has no share w1, so
-            # only one of hit1 and hit2 is 1. A share of 0 hits nothing.
-            hit1, hit2 = (m.p1 == x) & (m.w1 > 0), (m.p2 == x) & (m.w2 > 0)
-            miss = (~(hit1 | hit2)).astype(np.int32)
-            hit1, hit2 = hit1.astype(np.int32), hit2.astype(np.int32)
+            # it is in one of them only. A share of 0 hits nothing.
+            hit = m.p == x
+            on = hit & (m.w > 0)
+            miss, on = (~(on[0] | on[1])).astype(np.int32), on.astype(np.int32)
             start *= miss
-            start += m.w2 * hit1
+            start += m.w[1] * on[0]
             width *= miss
-            hit1 *= m.w1
-            width += hit1
-            hit2 *= m.w2
-            width += hit2
+            on *= m.w
+            width += on[0]
+            width += on[1]
             r = np.floor(rng[:k] * 2.0**-MIX_BITS)
             low[:k] += r * start.astype(np.float64)
             r *= width.astype(np.float64)
@@ -206,7 +244,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 r[more] *= 65536
                 more = more[r[more] < TOP]
             rng[:k] = r
-            m.learn(x, k)
+            m.learn(x, hit)
         for _ in range(3):
             word = np.floor(low * 2.0**-32)
             words[at] = word.astype(np.uint32)
@@ -220,8 +258,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         for r, i in enumerate(own):
             gaps = alphabets[r].copy()
             gaps[1:] -= alphabets[r][:-1]
-            # A window no wider than most alphabets: a wide one takes longer to make than to fill.
-            z = zlib.compressobj(1, zlib.DEFLATED, 11, 4)
+            # A window no wider than most alphabets: a wide one takes longer to make than to fill. Gaps seldom recur in
+            # longer runs, so that looking for these costs time and gains nothing.
+            z = zlib.compressobj(1, zlib.DEFLATED, 11, 4, zlib.Z_RLE)
             head = z.compress(gaps.astype("<u2" if int(gaps.max()) < 1 << 16 else "<u4").tobytes()) + z.flush()
             code = codes[r, : used[r]].tobytes()
             out[i] = struct.pack(HEAD, lens[r], len(alphabets[r]), len(head), len(code), zlib.crc32(code, zlib.crc32(head))) + head + code
@@ -251,33 +290,32 @@ def decode_blocks(parts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray
         xt = np.zeros((lens[0], n), np.int16)
         k, last = n, 0
         for t in range(lens[0]):
-            while lens[k - 1] <= t:
-                k -= 1
+            if lens[k - 1] <= t:
+                k = int((lens > t).sum())
+                m.narrow(k)
             if t in RENEW:
-                m.renew(k, xt[last:t, :k])
+                m.renew(xt[last:t, :k])
                 last = t
-            m.predict(k)
+            m.predict()
             r = np.floor(rng[:k] * 2.0**-MIX_BITS)
             v = (above[:k] / r).astype(np.int32)
-            hit2 = v < m.w2
+            w1, w2 = m.w
+            hit2 = v < w2
             one = hit2.astype(np.int32)
-            width = m.w2 - m.w1
+            width = w2 - w1
             width *= one
-            width += m.w1
-            x = m.p2 - m.p1
+            width += w1
+            p1, p2 = m.p
+            x = p2 - p1
             x *= hit2.astype(np.int16)
-            x += m.p1
+            x += p1
             start = one ^ 1
-            start *= m.w2
+            start *= w2
             # Order 0: the last place whose cumulative count is not above what v says.
             q = (v >= m.past).nonzero()[0]
             past, each, base = m.past.take(q, mode="clip"), m.each.take(q, mode="clip"), m.at0.take(q, mode="clip")
             most = ((v.take(q, mode="clip") - past) / each).astype(np.uint16)
-            a = base.copy()
-            for bit in reversed(range(m.wide.bit_length() - 1)):
-                up = (m.flat.take(a + (1 << bit), mode="clip") <= most).astype(np.int64)
-                up <<= bit
-                a += up
+            a = m.last_below(most, base)
             start[q], width[q] = m.order0(a, each, past)
             x[q] = a - base
             xt[t, :k] = x
@@ -300,9 +338,10 @@ def decode_blocks(parts: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray
                 r[more] *= 65536
                 more = more[r[more] < TOP]
             rng[:k] = r
-            m.learn(x, k)
-        for r, i in enumerate(own):
-            out[i] = alphabets[r][xt[: lens[r], r]].astype(np.uint32)
+            m.learn(x, m.p == x)
+        for g in range(0, n, TURN):
+            for r, places in enumerate(np.ascontiguousarray(xt[:, g : g + TURN].T), g):
+                out[own[r]] = alphabets[r].take(places[: lens[r]]).astype(np.uint32)
     return out
 
 

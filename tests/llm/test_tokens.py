@@ -50,6 +50,54 @@ def test_memo_of_another_size(monkeypatch):
     assert asked == [b"a", b"b", b"c", b"d"] and not memo.before
 
 
+def test_many_words_take_little_memory():
+    """Workers that kept them as objects took more memory than an executor has."""
+    import tracemalloc
+
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    enc.ids(["warm up"])
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    texts = [" ".join(map(word, range(k, k + 10_000))) for k in range(0, 60_000, 10_000)]
+    tracemalloc.start()
+    for t in texts:
+        enc.ids([t])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 110 * 60_000
+
+
+def test_words_by_their_bytes():
+    """Of one to many bytes, cut short or long by a zero byte, beyond ASCII, again after two generations."""
+    texts = ["a a\0 a\0\0 \0a \0", *("é" * k + "x" * j for k in range(10) for j in range(10)), "z" * 15 + " " + "z" * 14 + " " + "z" * 16 + " " + "z" * 40]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    enc.memo.most = 30
+    for t in [*texts, *texts[::-1], " ".join(texts)] * 2:
+        assert np.frombuffer(enc.ids([t])[0], "<u4").tolist() == ids_of(t)
+        assert enc.counts([t, t]) == [len(ids_of(t))] * 2
+
+
+def test_words_in_full_and_shared_places():
+    r = np.random.default_rng(1)
+    words = tokens.Words(8)
+    a, b = r.integers(0, 1 << 63, 5000).astype(np.uint64), np.full(5000, 1 << 56, np.uint64)
+    for k in range(0, 5000, 500):
+        part = slice(k, k + 500)
+        assert not words.find(a[part], b[part])[0].any()
+        words.add(a[part], b[part], np.arange(2 * k, 2 * k + 1000, dtype=np.uint32), np.full(500, 2))
+    known, start, number = words.find(a, b)
+    assert known.all() and (number == 2).all() and (words.flat[start] == np.arange(0, 10_000, 2)).all()
+    assert not words.find(a + np.uint64(1), b)[0].any() and words.count == 5000
+
+
+def test_heads_look_for_no_long_matches():
+    """That took a tenth of the coder's time, and made heads larger."""
+    r = np.random.default_rng(4)
+    blocks = [np.unique(r.integers(0, 20_000, 400)).astype(np.uint32) for _ in range(50)]
+    heads = [split(x)[2] for x in token_files.encode_blocks(blocks)]
+    before = [zlib.compressobj(1, zlib.DEFLATED, 11, 4) for _ in heads]
+    assert sum(map(len, heads)) < sum(len(z.compress(zlib.decompress(h)) + z.flush()) for z, h in zip(before, heads))
+
+
 def test_heads_are_small_and_read_by_any_window():
     block = np.arange(0, 2048 * 20, 20, dtype=np.uint32)
     n, a, head, code = split(token_files.encode_blocks([block])[0])
