@@ -24,8 +24,10 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 #: Buckets in one row of the sums that partitions send, and partitions whose sums meet first.
 SLICE, FAN = 64, 64
-#: Bytes of text that are worked on at a time.
-CHUNK = 1 << 19
+#: Bytes of text that are worked on at a time, and documents.
+CHUNK, DOCS = 1 << 19, 32
+#: Word vectors are multiples of this, so that the sums over up to 8 million words are exact, in whatever order.
+GRAIN = 2.0**-30
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,23 +148,32 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
     own = np.zeros((BUCKETS, DIM))
     np.put_along_axis(own, place, sign / np.sqrt(NONZERO), 1)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return np.concatenate([np.where(norm > 0, context / np.maximum(norm, 1e-9), 0), own], 1).astype(np.float32)
+    both = np.concatenate([np.where(norm > 0, context / np.maximum(norm, 1e-9), 0), own], 1).astype(np.float32)
+    return np.rint(both * np.float32(1 / GRAIN)) * np.float32(GRAIN)
 
 
 def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: the mean of its words' vectors, then whether it has words."""
+    """A row for each text: the mean of its words' vectors, then whether it has words.
+
+    The sums are a product: how often each document has each bucket that occurs, times the vectors of these.
+    """
     out = np.zeros((len(col), vectors.shape[1] + 1))
     for first, data, offsets in pieces(col):
         w, d = words(data, offsets)
-        if not len(w):
-            continue
-        cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        size = np.diff(np.append(cut, len(d)))
-        for s in range(0, len(cut), 256):  # bounds the copies of vectors
-            lo, hi = cut[s], cut[s + 256] if s + 256 < len(cut) else len(d)
-            sums = np.add.reduceat(vectors[w[lo:hi]], cut[s : s + 256] - lo, axis=0, dtype=np.float64)
-            out[first + d[cut[s : s + 256]], :-1] = sums / size[s : s + 256, None]
-        out[first + d[cut], -1] = 1
+        for s in range(0, len(offsets) - 1, DOCS):
+            lo, hi = np.searchsorted(d, (s, s + DOCS))
+            if lo == hi:
+                continue
+            x, y = w[lo:hi], d[lo:hi] - s
+            used = np.flatnonzero(np.bincount(x, minlength=BUCKETS))
+            place = np.zeros(BUCKETS, np.int64)
+            place[used] = np.arange(len(used))
+            n = int(y[-1]) + 1
+            counts = np.bincount(y * len(used) + place[x], minlength=n * len(used)).reshape(n, -1).astype(np.float64)
+            size = counts.sum(1, keepdims=True)
+            rows = out[first + s : first + s + n]
+            rows[:, :-1] = counts @ vectors[used].astype(np.float64) / np.maximum(size, 1)
+            rows[:, -1] = size[:, 0] > 0
     return out
 
 

@@ -67,6 +67,35 @@ def test_pooled_is_the_mean():
         assert np.allclose(got[i, :-1], v[w].mean(0) if len(w) else 0, atol=1e-5) and got[i, -1] == (len(w) > 0)
 
 
+def test_pooling_copies_no_vector_for_each_word():
+    """That took most of the time, and for a long text memory by its words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    v = quality.word_vectors(np.random.default_rng(2).integers(-99, 99, (quality.BUCKETS, quality.DIM)))
+    col = pa.array(["ab cd " * 150_000])
+    quality.pooled(col, v)
+    tracemalloc.start()
+    got = quality.pooled(col, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6
+    assert (got == quality.pooled(pa.array(["ab cd"]), v)).all()
+
+
+def test_pooled_alone_and_among_others():
+    """Sums are exact, so that a text's features do not hang on the texts beside it."""
+    import pyarrow as pa
+
+    v = quality.word_vectors(np.random.default_rng(3).integers(-99, 99, (quality.BUCKETS, quality.DIM)))
+    assert (v / quality.GRAIN == np.rint(v / quality.GRAIN)).all()
+    texts = [None, *(words(random.Random(i), i * i % 97) for i in range(3 * quality.DOCS + 5)), "", " \n"]
+    alone = np.concatenate([quality.pooled(pa.array([t], pa.string()), v) for t in texts])
+    assert (quality.pooled(pa.array(texts), v) == alone).all()
+    assert (quality.pooled(pa.array(texts[::-1]), v) == alone[::-1]).all()
+
+
 def junk(r, n):
     return " ".join(w + r.choice(["###", "$$$", "!!"]) for w in words(r, n).split())
 
